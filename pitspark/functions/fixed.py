@@ -49,7 +49,7 @@ THEMES: dict[str, str] = {
     "stress": "ECON_BANKRUPTCY|ECON_TRADE_DISPUTE|ECON_DEBT",
 }
 
-POST_KEYWORDS = r"\b(gold|GLD|silver|SLV|gdx|comex|xau|bullion|miner)\b"
+POST_KEYWORDS = ("gold", "GLD", "silver", "SLV", "gdx", "comex", "xau", "bullion", "miner")
 POST_FORUMS = ("Gold", "wallstreetbets", "investing", "Goldandsilverstackers", "Commodities")
 
 # Source -> editorial tier; the second table is matched by substring in order.

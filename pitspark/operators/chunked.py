@@ -77,6 +77,7 @@ def over_rows(
     lookahead: int = 0,
     block_rows: int | None = None,
     keep_pos: str | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Run bounded-frame window expressions block by block.
 
@@ -91,7 +92,7 @@ def over_rows(
     if size < max(lookback, lookahead):
         raise ValueError("block_rows must be at least as large as the halo")
     by = list(key.by)
-    numbered = row_positions(df, key)
+    numbered = row_positions(df, key, chunk=chunk)
     home = F.floor((F.col(POS) - 1) / F.lit(size)).cast("long")
     at = F.pmod(F.col(POS) - 1, F.lit(size))
     targets = [home]

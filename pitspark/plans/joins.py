@@ -151,8 +151,8 @@ def asof_multi_series(t: Tables):
     """WITH l AS (SELECT series_id, date, max(realtime_start) AS t_visible, arg_max(value, realtime_start) AS value
                  FROM vintages GROUP BY 1, 2)
        SELECT a.date, greatest(a.t_visible, b.t_visible, c.t_visible) AS t_visible,
-              round(a.value - b.value, 4) AS spread,
-              round(2 * b.value - a.value - c.value, 4) AS butterfly
+              round(a.value - b.value, 6) AS spread,
+              round(2 * b.value - a.value - c.value, 6) AS butterfly
        FROM l a JOIN l b ON a.date = b.date AND b.series_id = '2-HIGH'
                 JOIN l c ON a.date = c.date AND c.series_id = '5-LOW'
        WHERE a.series_id = '1-URGENT'""",
@@ -166,8 +166,8 @@ def spread_inner_join(t: Tables):
         legs={"a": "1-URGENT", "b": "2-HIGH", "c": "5-LOW"},
         series="series_id",
         formulas={
-            "spread": lambda v: rnd(v["a"] - v["b"], 4),
-            "butterfly": lambda v: rnd(F.lit(2) * v["b"] - v["a"] - v["c"], 4),
+            "spread": lambda v: rnd(v["a"] - v["b"], 6),
+            "butterfly": lambda v: rnd(F.lit(2) * v["b"] - v["a"] - v["c"], 6),
         },
     )
 

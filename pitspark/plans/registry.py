@@ -35,7 +35,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT o_orderpriority AS series_id, o_orderdate AS date,
                   o_orderdate + to_days(l_linenumber) AS realtime_start,
-                  round(avg(l_extendedprice), 4) AS value
+                  round(avg(l_extendedprice), 8) AS value
            FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
     ),
     "articles": (

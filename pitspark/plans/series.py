@@ -125,8 +125,8 @@ def log_returns(t: Tables):
 
 @query(
     "rolling_mean",
-    """SELECT series_id, date, CASE WHEN count(value) OVER w4 >= 2 THEN round(avg(value) OVER w4, 4) END AS ma_4,
-              CASE WHEN count(value) OVER w20 >= 10 THEN round(sum(value) OVER w20, 2) END AS sum_20
+    """SELECT series_id, date, CASE WHEN count(value) OVER w4 >= 2 THEN round(avg(value) OVER w4, 6) END AS ma_4,
+              CASE WHEN count(value) OVER w20 >= 10 THEN round(sum(value) OVER w20, 5) END AS sum_20
        FROM firsts WINDOW w4 AS (PARTITION BY series_id ORDER BY date ROWS 3 PRECEDING),
                           w20 AS (PARTITION BY series_id ORDER BY date ROWS 19 PRECEDING)""",
     "firsts",
@@ -137,7 +137,7 @@ def rolling_mean(t: Tables):
 
     def compute(d, w):
         return with_cols(
-            d, ma_4=rnd(R.mean(C("value"), 4, 2, w), 4), sum_20=rnd(R.total(C("value"), 20, 10, w), 2)
+            d, ma_4=rnd(R.mean(C("value"), 4, 2, w), 6), sum_20=rnd(R.total(C("value"), 20, 10, w), 5)
         )
 
     return over_rows(first, SERIES, compute, lookback=19).select("series_id", "date", "ma_4", "sum_20")
@@ -586,7 +586,7 @@ def yoy_mom(t: Tables):
     """WITH a AS (SELECT date, t_visible, value FROM firsts WHERE series_id = '1-URGENT'),
             b AS (SELECT date AS bdate, t_visible AS bvis, value AS bvalue FROM firsts WHERE series_id = '5-LOW')
        SELECT a.date, greatest(a.t_visible, b.bvis) AS t_visible, round(a.value / 10.0, 6) AS level_10, round(a.value / 30.0, 6) AS level_30,
-              round(a.value - b.bvalue, 4) AS term_spread, round(a.value - 100 * b.bvalue / 1000.0, 4) AS real_rate
+              round(a.value - b.bvalue, 6) AS term_spread, round(a.value - 100 * b.bvalue / 1000.0, 6) AS real_rate
        FROM a ASOF LEFT JOIN b ON a.date >= b.bdate""",
     "firsts",
 )
@@ -607,8 +607,8 @@ def curve_spreads(t: Tables):
         F.greatest("t_visible", "bvis").alias("t_visible"),
         rnd(C("value") / 10.0).alias("level_10"),
         rnd(C("value") / 30.0).alias("level_30"),
-        rnd(C("value") - C("bvalue"), 4).alias("term_spread"),
-        rnd(C("value") - 100 * C("bvalue") / 1000.0, 4).alias("real_rate"),
+        rnd(C("value") - C("bvalue"), 6).alias("term_spread"),
+        rnd(C("value") - 100 * C("bvalue") / 1000.0, 6).alias("real_rate"),
     )
 
 
@@ -709,7 +709,7 @@ def index_features(t: Tables):
     "trend_seasonal",
     """WITH f AS (SELECT symbol, bar_close, close, first_value(close) OVER o AS x0, sum(close) OVER w AS s, count(*) OVER w AS n
                  FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar_close), w AS (PARTITION BY symbol ORDER BY bar_close ROWS 23 PRECEDING))
-       SELECT symbol, bar_close, round((s + (24 - n) * x0) / 24.0, 6) AS trend, round(close - (s + (24 - n) * x0) / 24.0, 6) AS seasonal FROM f""",
+       SELECT symbol, bar_close, round((s + (24 - n) * x0) / 24.0, 6) AS trend, round(close - (s + (24 - n) * x0) / 24.0, 6) + 0.0 AS seasonal FROM f""",
     "bars",
 )
 def trend_seasonal(t: Tables):
@@ -728,7 +728,7 @@ def trend_seasonal(t: Tables):
 
 @query(
     "window_norm",
-    """SELECT symbol, bar_close, round(avg(close) OVER w, 6) AS mu, round(stddev_pop(close) OVER w, 6) AS sigma,
+    """SELECT symbol, bar_close, round(avg(close) OVER w, 9) AS mu, round(stddev_pop(close) OVER w, 6) AS sigma,
               round((close - avg(close) OVER w) / sqrt(var_pop(close) OVER w + 1e-5), 6) AS normed
        FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_close ROWS 63 PRECEDING)""",
     "bars",
@@ -741,7 +741,8 @@ def window_norm(t: Tables):
         mu, var = F.avg("close").over(f), F.var_pop("close").over(f)
         return with_cols(d, mu=mu, sigma=F.sqrt(var), normed=(C("close") - mu) / F.sqrt(var + F.lit(1e-5)))
 
-    return finish(over_rows(bars_of(t, "close"), BAR, compute, lookback=63), "mu", "sigma", "normed")
+    out = over_rows(bars_of(t, "close"), BAR, compute, lookback=63)
+    return out.select(*KEY, rnd(C("mu"), 9).alias("mu"), rnd(C("sigma")).alias("sigma"), rnd(C("normed")).alias("normed"))
 
 
 @query(

@@ -127,7 +127,7 @@ class Tables:
                 F.col("o_orderdate").alias("date"),
                 start.alias("realtime_start"),
             )
-            .agg(rnd(F.avg("l_extendedprice"), 4).alias("value"))
+            .agg(rnd(F.avg("l_extendedprice"), 8).alias("value"))
             .withColumn("release_ts", F.col("realtime_start"))
             .withColumn("t_visible", F.col("realtime_start"))
         )

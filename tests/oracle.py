@@ -81,7 +81,7 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("names", nargs="*")
     ap.add_argument("--sf", default="0.01")
-    ap.add_argument("--module", default=None, help="only queries defined in this plans module")
+    ap.add_argument("--module", default=None, nargs="*", help="only queries of these plans modules")
     args = ap.parse_args()
     from pitspark.plans import catalogue
     from pitspark.session import build_session
@@ -94,9 +94,8 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = duck(sf_dir)
-    names = args.names or list(catalogue.QUERIES)
-    if args.module:
-        names = [n for n in names if catalogue.MODULE_OF[n] == args.module]
+    names = args.names or [n for n in catalogue.QUERIES if not args.module]
+    names += [n for n in catalogue.QUERIES if args.module and catalogue.MODULE_OF[n] in args.module]
     bad = 0
     for n in names:
         try:
