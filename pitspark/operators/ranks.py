@@ -20,12 +20,11 @@ COARSE = 16  # cut points are searched in two steps of this size
 ALL = "__all"
 
 
-def _cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def _cuts(value: str) -> Column:
+    """Aggregate: sorted distinct cut points of a column (at most 255)."""
     n = COARSE * COARSE
     fractions = [F.lit(i / n) for i in range(1, n)]
-    return df.groupBy(*by).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), F.array(*fractions), F.lit(2000)))).alias("__cuts")
-    )
+    return F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), F.array(*fractions), F.lit(2000))))
 
 
 def _below(cuts: Column, v: Column) -> Column:
@@ -41,11 +40,16 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with their count ``n`` and the number of rows
-    up to and including them ``upto``. Repeats collapse before the shuffle."""
+    """Distinct values per group with their count ``n``, the number of rows up
+    to and including them ``upto`` and the group's ``n_values``.
+
+    Repeats collapse before the shuffle, and every later step reads that one
+    shuffle again (reused exchange).
+    """
     src, keys = _grouped(df, by)
     distinct = src.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = distinct.join(_cuts(distinct, keys, value), keys)
+    meta = distinct.groupBy(*keys).agg(_cuts(value).alias("__cuts"), F.sum("n").alias("n_values"))
+    cut = distinct.join(meta, keys)
     chunked = cut.withColumn("__bin", _below(F.col("__cuts"), F.col(value))).drop("__cuts")
     key = SeriesKey(tuple(keys), value)
     return running(chunked, key, [Running("upto", "sum", F.col("n"))], chunk=F.col("__bin")).drop("__bin")
@@ -56,8 +60,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: dic
     plus the number of values ``n_values``."""
     ranks = value_ranks(df, by, value)
     keys = list(by) if by else [ALL]
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("n_values"))
-    r = ranks.join(totals, keys)
     first = F.col("upto") - F.col("n")  # 0-based rank of the first copy
 
     def at(rank: Column) -> Column:
@@ -68,7 +70,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: dic
         target = F.lit(q) * (F.col("n_values") - 1)
         aggs += [at(F.floor(target)).alias(f"__lo_{name}"), at(F.ceil(target)).alias(f"__hi_{name}")]
         aggs.append(F.max(target - F.floor(target)).alias(f"__w_{name}"))
-    out = r.groupBy(*keys).agg(*aggs)
+    out = ranks.groupBy(*keys).agg(*aggs)
     for name in fractions:
         lo, hi, w = (F.col(f"__{p}_{name}") for p in ("lo", "hi", "w"))
         out = out.withColumn(name, lo + (hi - lo) * w)
@@ -79,16 +81,15 @@ def order_statistic(df: DataFrame, by: Sequence[str], value: str, rank: Column,
     """The value at a 1-based rank per group; ``rank`` may use ``n_values``."""
     ranks = value_ranks(df, by, value)
     keys = list(by) if by else [ALL]
-    r = ranks.join(ranks.groupBy(*keys).agg(F.sum("n").alias("n_values")), keys)
     hit = (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
-    picked = r.groupBy(*keys).agg(F.max("n_values").alias("n_values"), F.max(F.when(hit, F.col(value))).alias(out))
+    picked = ranks.groupBy(*keys).agg(F.max("n_values").alias("n_values"), F.max(F.when(hit, F.col(value))).alias(out))
     return picked.select(*by, "n_values", out)
 
 
 def row_ranks(df: DataFrame, by: Sequence[str], value: str, tie: str, *, out: str, tie_width: int = 100_000) -> DataFrame:
     """1-based rank of every row by (value, tie); ``tie`` is a unique integer."""
     src, keys = _grouped(df, by)
-    cut = src.join(_cuts(src, keys, value), keys)
+    cut = src.join(src.groupBy(*keys).agg(_cuts(value).alias("__cuts")), keys)
     v, cuts = F.col(value), F.col("__cuts")
     on_cut = F.array_contains(cuts, v)
     chunk = F.struct(

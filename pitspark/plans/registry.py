@@ -102,8 +102,9 @@ VIEWS["months"] = (
 VIEWS["schedule"] = (("yrs", "months"), VIEWS["schedule"][1])
 
 
-def view(name: str, body: str, *needs: str) -> None:
-    VIEWS[name] = (needs, body)
+def view(name: str, body: str, needs: str = "") -> None:
+    """Declare a helper view of the checks."""
+    VIEWS[name] = (tuple(needs.split()), body)
 
 
 def sql_with(needs: str, body: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings: safe to apply to a session somebody else created.
 RUNTIME_CONF = {
@@ -45,3 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR")))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage, on the shared checkpoint
+    folder so that lost executors do not lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

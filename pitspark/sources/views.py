@@ -95,6 +95,11 @@ class Tables:
         """Hourly bars per symbol."""
         return ohlcv(self.ticks, seconds=HOUR)
 
+    @cached_property
+    def bars30(self) -> DataFrame:
+        """Half-hour bars per symbol."""
+        return ohlcv(self.ticks, seconds=HOUR // 2)
+
     @cached_property
     def daily(self) -> DataFrame:
         """Daily bars per series over seven years."""
