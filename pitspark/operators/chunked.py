@@ -185,9 +185,17 @@ class Running:
     value: Column
 
 
-def running(df: DataFrame, key: SeriesKey, specs: Sequence[Running], chunk: Column | None = None) -> DataFrame:
+def running(
+    df: DataFrame,
+    key: SeriesKey,
+    specs: Sequence[Running],
+    chunk: Column | None = None,
+    keep_chunk: bool = False,
+) -> DataFrame:
     """Unbounded prefix aggregates (inclusive of the current row) per series:
-    prefix inside the chunk combined with the totals of all earlier chunks."""
+    prefix inside the chunk combined with the totals of all earlier chunks.
+    ``keep_chunk`` leaves the chunk column in place so that a following call
+    can pass it back and reuse the partitioning."""
     by = list(key.by)
     cut = df.withColumn(CHUNK, key.chunk() if chunk is None else chunk)
     for s in specs:
@@ -234,7 +242,7 @@ def running(df: DataFrame, key: SeriesKey, specs: Sequence[Running], chunk: Colu
             merged = (F.greatest if s.kind == "max" else F.least)(local, c)
         out = out.withColumn(s.out, merged)
     helper = [f"__{p}_{s.out}" for s in specs for p in "vlc"]
-    return out.drop(CHUNK, *helper)
+    return out.drop(*helper, *([] if keep_chunk else [CHUNK]))
 
 
 def chunk_scan(

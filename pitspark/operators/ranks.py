@@ -9,6 +9,7 @@ their own that are split further by the tie-breaker.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,30 +17,32 @@ from pyspark.sql import functions as F
 
 from pitspark.operators.chunked import Running, SeriesKey, row_positions, running
 
-COARSE = 16  # cut points are searched in two steps of this size
+# Cut points per group; one bin of one group is the most a task ever sorts, so
+# raise ``bins`` with the size of the largest group. Searched in two steps.
+BINS = 256
 ALL = "__all"
 
 
-def _cuts(value: str) -> Column:
-    """Aggregate: sorted distinct cut points of a column (at most 255)."""
-    n = COARSE * COARSE
-    fractions = [F.lit(i / n) for i in range(1, n)]
-    return F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), F.array(*fractions), F.lit(2000))))
+def _cuts(value: str, bins: int) -> Column:
+    """Aggregate: sorted distinct cut points of a column."""
+    fractions = ", ".join(f"{i / bins!r}D" for i in range(1, bins))
+    return F.expr(f"array_sort(array_distinct(percentile_approx(`{value}`, array({fractions}), {8 * bins})))")
 
 
-def _below(cuts: Column, v: Column) -> Column:
+def _below(cuts: Column, v: Column, bins: int) -> Column:
     """Number of cut points strictly below a value, in two short scans."""
-    heads = F.filter(cuts, lambda c, i: i % COARSE == 0)
+    step = max(2, math.isqrt(bins))
+    heads = F.filter(cuts, lambda c, i: i % step == 0)
     block = F.size(F.filter(heads, lambda c: c < v))
-    start = F.greatest(block - 1, F.lit(0)) * COARSE
-    return start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(COARSE)), lambda c: c < v))
+    start = F.greatest(block - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(step)), lambda c: c < v))
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
     """Distinct values per group with their count ``n``, the number of rows up
     to and including them ``upto`` and the group's ``n_values``.
 
@@ -48,17 +51,17 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """
     src, keys = _grouped(df, by)
     distinct = src.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    meta = distinct.groupBy(*keys).agg(_cuts(value).alias("__cuts"), F.sum("n").alias("n_values"))
+    meta = distinct.groupBy(*keys).agg(_cuts(value, bins).alias("__cuts"), F.sum("n").alias("n_values"))
     cut = distinct.join(meta, keys)
-    chunked = cut.withColumn("__bin", _below(F.col("__cuts"), F.col(value))).drop("__cuts")
+    chunked = cut.withColumn("__bin", _below(F.col("__cuts"), F.col(value), bins)).drop("__cuts")
     key = SeriesKey(tuple(keys), value)
     return running(chunked, key, [Running("upto", "sum", F.col("n"))], chunk=F.col("__bin")).drop("__bin")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], bins: int = BINS) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per fraction,
     plus the number of values ``n_values``."""
-    ranks = value_ranks(df, by, value)
+    ranks = value_ranks(df, by, value, bins)
     keys = list(by) if by else [ALL]
     first = F.col("upto") - F.col("n")  # 0-based rank of the first copy
 
@@ -77,23 +80,27 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: dic
     return out.select(*by, "n_values", *fractions)
 
 
-def order_statistic(df: DataFrame, by: Sequence[str], value: str, rank: Column, out: str) -> DataFrame:
+def order_statistic(
+    df: DataFrame, by: Sequence[str], value: str, rank: Column, out: str, bins: int = BINS
+) -> DataFrame:
     """The value at a 1-based rank per group; ``rank`` may use ``n_values``."""
-    ranks = value_ranks(df, by, value)
+    ranks = value_ranks(df, by, value, bins)
     keys = list(by) if by else [ALL]
     hit = (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
     picked = ranks.groupBy(*keys).agg(F.max("n_values").alias("n_values"), F.max(F.when(hit, F.col(value))).alias(out))
     return picked.select(*by, "n_values", out)
 
 
-def row_ranks(df: DataFrame, by: Sequence[str], value: str, tie: str, *, out: str, tie_width: int = 100_000) -> DataFrame:
+def row_ranks(
+    df: DataFrame, by: Sequence[str], value: str, tie: str, *, out: str, tie_width: int = 100_000, bins: int = BINS
+) -> DataFrame:
     """1-based rank of every row by (value, tie); ``tie`` is a unique integer."""
     src, keys = _grouped(df, by)
-    cut = src.join(src.groupBy(*keys).agg(_cuts(value).alias("__cuts")), keys)
+    cut = src.join(src.groupBy(*keys).agg(_cuts(value, bins).alias("__cuts")), keys)
     v, cuts = F.col(value), F.col("__cuts")
     on_cut = F.array_contains(cuts, v)
     chunk = F.struct(
-        (_below(cuts, v) * 2 + on_cut.cast("int")).alias("bin"),
+        (_below(cuts, v, bins) * 2 + on_cut.cast("int")).alias("bin"),
         F.when(on_cut, F.floor(F.col(tie) / tie_width)).otherwise(F.lit(0)).alias("part"),
     )
     key = SeriesKey(tuple(keys), value, (tie,))
