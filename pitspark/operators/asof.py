@@ -12,12 +12,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitspark.functions.timefn import micros, time_chunk
+from pitspark.operators.chunked import shared_shuffle
 
 DAY = 86_400
 
 
+NO_BUCKET = -(1 << 62)
+
+
+def _total_keys(df: DataFrame, by: Sequence[str]) -> list[Column]:
+    """Non-null stand-ins for the join keys, so that left rows without a key
+    stay (unmatched) while both plan branches see the same, null-free keys."""
+    out: list[Column] = []
+    for i, f in enumerate(df.select(*by).schema):
+        text = isinstance(f.dataType, T.StringType)
+        default = F.lit("" if text else 0).cast("string" if text else "long")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            default = F.lit("1970-01-01")
+        out.append(F.coalesce(F.col(f.name), default.cast(f.dataType)).alias(f"__k{i}"))
+        out.append(F.col(f.name).isNull().alias(f"__n{i}"))
+    return out
+
+
 def _neighbour(
     left: DataFrame,
     right: DataFrame,
@@ -39,22 +58,25 @@ def _neighbour(
     r = right.filter(F.col(right_time).isNotNull())
     for k in by:
         r = r.filter(F.col(k).isNotNull())
+    keys = [f"__{p}{i}" for i in range(len(by)) for p in "kn"]
     rows_r = r.select(
-        *by,
+        *_total_keys(r, by),
         F.col(right_time).alias("__t"),
         F.struct(F.lit(0).alias("z"), *[F.col(c).alias(f"t_{c}") for c in tie]).alias("__tie"),
         payload.alias("__r"),
     ).withColumn("__l", F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType))
     rows_l = left.select(
-        *by,
+        *_total_keys(left, by),
         F.col(left_time).alias("__t"),
         F.struct("*").alias("__l"),
     )
     both = rows_l.unionByName(rows_r, allowMissingColumns=True).withColumn(
-        "__b", time_chunk(F.col("__t"), bucket_seconds)
+        "__b", F.coalesce(time_chunk(F.col("__t"), bucket_seconds), F.lit(NO_BUCKET))
     )
+    by = keys
+    both, zero = shared_shuffle(both, [*by, "__b"])
     is_right = F.col("__r").isNotNull()
-    out = both
+    ins: dict[str, Column] = {}
     carries: list[Column] = []
     span = Window.partitionBy(*by).orderBy("__b")
     picks = []
@@ -68,7 +90,7 @@ def _neighbour(
             .orderBy(when, side, tie_order)
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        out = out.withColumn(f"__in_{name}", F.last("__r", ignorenulls=True).over(w))
+        ins[f"__in_{name}"] = F.last("__r", ignorenulls=True).over(w)
         rank = F.when(is_right, F.struct("__t", "__tie"))
         picks.append((F.max_by if back else F.min_by)("__r", rank).alias(f"__p_{name}"))
         edge = (
@@ -78,15 +100,17 @@ def _neighbour(
         )
         carries.append(F.last(f"__p_{name}", ignorenulls=True).over(edge).alias(f"__c_{name}"))
     table = (
-        both.filter(F.col("__b").isNotNull())
+        both
         .groupBy(*by, "__b")
-        .agg(*picks)
+        .agg(F.max(zero).alias("__z"), *picks)
+        .filter(F.col("__z") == 0)
         .select(*by, "__b", *carries)
     )
-    out = out.filter(F.col("__l").isNotNull()).join(table, [*by, "__b"], "left")
+    out = both.withColumns(ins).filter(F.col("__l").isNotNull()).join(table, [*by, "__b"], "left")
+    timed = F.col("__b") != NO_BUCKET
     return out.select(
         "__l.*",
-        *[F.coalesce(f"__in_{n}", f"__c_{n}").alias(n) for n, _, _ in plans],
+        *[F.when(timed, F.coalesce(f"__in_{n}", f"__c_{n}")).alias(n) for n, _, _ in plans],
     )
 
 

@@ -8,7 +8,7 @@ through a window over the chunk table, which has one row per chunk, and come
 back by an equi join on (series, chunk); the rows themselves are only ever
 partitioned by (series, chunk).
 
-Series keys must not be null (drop such rows first, see ``quality.drop_null_keys``).
+Rows with a null series key belong to no series and are dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -51,21 +52,40 @@ class SeriesKey:
         return time_chunk(F.col(self.time), self.chunk_seconds)
 
 
+def _with_chunk(df: DataFrame, key: SeriesKey, chunk: Column | None) -> DataFrame:
+    """Add the chunk column, never null: the chunk join would otherwise filter
+    nulls on one branch only and the branches could not share a shuffle."""
+    c = F.coalesce(key.chunk(), F.lit(-(1 << 62))) if chunk is None else chunk
+    if key.by:
+        df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key.by]))
+    return df.withColumn(CHUNK, c)
+
+
+def shared_shuffle(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Partition rows by keys for several consumers of the same rows.
+
+    Two branches of a plan that read different columns of a shuffle get two
+    shuffles, and everything below them runs twice; nested two-level operators
+    would double the work at every level. Returned with the shuffled table is a
+    zero that depends on all its columns: the branch that only needs totals
+    adds it, both branches then read the same columns and Spark reuses the one
+    exchange. The window and the aggregate above need no further shuffle.
+    """
+    parts = df.repartition(*keys)
+    return parts, F.xxhash64(*parts.columns).bitwiseAND(F.lit(0).cast("long"))
+
+
 def row_positions(df: DataFrame, key: SeriesKey, pos: str = POS, chunk: Column | None = None) -> DataFrame:
     """Add the 1-based row number inside each series (two-level: chunk sizes are
     summed over the chunk table, rows are numbered inside their chunk)."""
     by = list(key.by)
-    cut = df.withColumn(CHUNK, key.chunk() if chunk is None else chunk)
-    sizes = cut.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+    cut, zero = shared_shuffle(_with_chunk(df, key, chunk), [*by, CHUNK])
+    sizes = cut.groupBy(*by, CHUNK).agg(F.sum(zero + 1).alias("__n"))
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*by, CHUNK).orderBy(*key.order)
-    return (
-        cut.withColumn(pos, F.row_number().over(inside))
-        .join(offsets, [*by, CHUNK])
-        .withColumn(pos, F.col(pos).cast("long") + F.col("__off"))
-        .drop("__off", CHUNK)
-    )
+    numbered = cut.withColumn("__rn", F.row_number().over(inside)).join(offsets, [*by, CHUNK])
+    return numbered.select(*df.columns, (F.col("__rn").cast("long") + F.col("__off")).alias(pos))
 
 
 def over_rows(
@@ -100,11 +120,11 @@ def over_rows(
         targets.append(F.when(at >= size - lookback, home + 1))
     if lookahead:
         targets.append(F.when((at < lookahead) & (home > 0), home - 1))
-    spread = numbered.withColumn("__home", home)
     if len(targets) == 1:
-        spread = spread.withColumn(BLOCK, home)
+        block = home
     else:
-        spread = spread.withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
+        block = F.explode(F.array_compact(F.array(*targets)))
+    spread = numbered.select("*", home.alias("__home"), block.alias(BLOCK))
     w = Window.partitionBy(*by, BLOCK).orderBy(POS)
     out = compute(spread, w).filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, "__home")
     return out.withColumnRenamed(POS, keep_pos) if keep_pos else out.drop(POS)
@@ -197,9 +217,8 @@ def running(
     ``keep_chunk`` leaves the chunk column in place so that a following call
     can pass it back and reuse the partitioning."""
     by = list(key.by)
-    cut = df.withColumn(CHUNK, key.chunk() if chunk is None else chunk)
-    for s in specs:
-        cut = cut.withColumn(f"__v_{s.out}", s.value)
+    cut = _with_chunk(df, key, chunk).withColumns({f"__v_{s.out}": s.value for s in specs})
+    cut, zero = shared_shuffle(cut, [*by, CHUNK])
     order = F.struct(*[F.col(c) for c in key.order])
 
     def total(s: Running) -> Column:
@@ -208,7 +227,10 @@ def running(
             return F.max_by(v, F.when(v.isNotNull(), order))
         return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[s.kind](v)
 
-    totals = cut.groupBy(*by, CHUNK).agg(*[total(s).alias(f"__t_{s.out}") for s in specs])
+    totals = cut.groupBy(*by, CHUNK).agg(
+        F.max(zero).alias("__z"), *[total(s).alias(f"__t_{s.out}") for s in specs]
+    )
+    totals = totals.filter(F.col("__z") == 0)
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(s: Running) -> Column:
@@ -222,25 +244,23 @@ def running(
     upto = (
         Window.partitionBy(*by, CHUNK).orderBy(*key.order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = cut
-    for s in specs:
+
+    def local(s: Running) -> Column:
         v = F.col(f"__v_{s.out}")
         if s.kind == "last":
-            local = F.last(v, ignorenulls=True).over(upto)
-        else:
-            local = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[s.kind](v).over(upto)
-        out = out.withColumn(f"__l_{s.out}", local)
-    out = out.join(carry, [*by, CHUNK])
-    for s in specs:
-        local, c = F.col(f"__l_{s.out}"), F.col(f"__c_{s.out}")
+            return F.last(v, ignorenulls=True).over(upto)
+        return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[s.kind](v).over(upto)
+
+    def merged(s: Running) -> Column:
+        here, c = F.col(f"__l_{s.out}"), F.col(f"__c_{s.out}")
         if s.kind in ("sum", "count"):
-            zero = F.lit(0)
-            merged = F.coalesce(local, zero) + F.coalesce(c, zero)
-        elif s.kind == "last":
-            merged = F.coalesce(local, c)
-        else:
-            merged = (F.greatest if s.kind == "max" else F.least)(local, c)
-        out = out.withColumn(s.out, merged)
+            return F.coalesce(here, F.lit(0)) + F.coalesce(c, F.lit(0))
+        if s.kind == "last":
+            return F.coalesce(here, c)
+        return (F.greatest if s.kind == "max" else F.least)(here, c)
+
+    out = cut.withColumns({f"__l_{s.out}": local(s) for s in specs}).join(carry, [*by, CHUNK])
+    out = out.withColumns({s.out: merged(s) for s in specs})
     helper = [f"__{p}_{s.out}" for s in specs for p in "vlc"]
     return out.drop(*helper, *([] if keep_chunk else [CHUNK]))
 

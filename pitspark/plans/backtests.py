@@ -104,14 +104,16 @@ def strategy_rows(t: Tables):
 
 @query(
     "backtest_pnl",
-    """SELECT strategy, symbol, fold, bar_close, round(delta, 6) AS delta, round(pnl, 6) + 0.0 AS pnl, round(equity, 6) AS equity, round(peak, 6) AS peak
+    """SELECT strategy, symbol, fold, bar_close, round(delta, 6) AS delta, round(pnl, 6) + 0.0 AS pnl, round(ln(equity), 6) + 0.0 AS log_equity, round(1 - equity / peak, 6) + 0.0 AS drawdown
        FROM testcurve WHERE multiplier = 1.0 AND bucket = 'both'""",
     "testcurve",
 )
 def backtest_pnl(t: Tables):
     """Per-bar result, equity and its peak."""
     out = B.backtest(strategy_rows(t), RUN_KEY)
-    return out.select("strategy", "symbol", "fold", "bar_close", *[rnd(C(c)).alias(c) for c in ("delta", "pnl", "equity", "peak")])
+    out = out.withColumn("log_equity", F.ln("equity")).withColumn("drawdown", 1 - C("equity") / C("peak"))
+    cols = ("delta", "pnl", "log_equity", "drawdown")
+    return out.select("strategy", "symbol", "fold", "bar_close", *[rnd(C(c)).alias(c) for c in cols])
 
 
 @query(

@@ -63,9 +63,7 @@ def bars_of(t: Tables, *cols: str) -> DataFrame:
 
 
 def with_cols(d: DataFrame, **cols) -> DataFrame:
-    for n, c in cols.items():
-        d = d.withColumn(n, c)
-    return d
+    return d.withColumns(cols)
 
 
 def finish(d: DataFrame, *cols: str, keys=KEY, places: int = 6) -> DataFrame:
