@@ -4,6 +4,7 @@ zero, logs of non-positive values and infinities become NULL."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,14 +74,24 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, F.lit(1.0) - upper).otherwise(upper)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``; a plain
+    Column used in a lambda would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     """Softmax of an array of scores divided by a temperature."""
     t = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature
-    scaled = F.transform(scores, lambda x: x / t)
-    top = F.array_max(scaled)
-    exps = F.transform(scaled, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+
+    def shares(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda s: F.transform(exps, lambda x: x / s))
+
+    def exps(scaled: Column) -> Column:
+        return let(F.array_max(scaled), lambda m: let(F.transform(scaled, lambda x: F.exp(x - m)), shares))
+
+    return let(F.transform(scores, lambda x: x / t), exps)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.functions.mathfn import rnd, softmax
+from pitspark.functions.mathfn import let, rnd, softmax
 from pitspark.operators.ranks import order_statistic, row_ranks
 
 C = F.col
@@ -22,10 +22,15 @@ PROB_PLACES = 9
 
 def nll(logits: Column, label: Column, t: Column) -> Column:
     """Negative log likelihood of the label at a temperature."""
-    scaled = F.transform(logits, lambda x: x / t)
-    top = F.array_max(scaled)
-    total = F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.ln(total) + top - F.get(scaled, label.cast("int"))
+
+    def loss(scaled: Column) -> Column:
+        def given(top: Column) -> Column:
+            total = F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+            return F.ln(total) + top - F.get(scaled, label.cast("int"))
+
+        return let(F.array_max(scaled), given)
+
+    return let(F.transform(logits, lambda x: x / t), loss)
 
 
 def _best_on_grid(df: DataFrame, by: Sequence[str], grid: Column, out: str) -> DataFrame:
@@ -92,7 +97,7 @@ def fit_quantiles(df: DataFrame, by: Sequence[str], *, alpha: float = 0.1, min_c
     pooled = order_statistic(df, by, "score", k, "pooled").drop("n_values")
     width = df.groupBy(*by).agg(F.max(F.size("probs")).alias("n_classes"))
     grid = pooled.join(width, list(by)).select(
-        *by, "pooled", F.explode(F.sequence(F.lit(0), C("n_classes") - 1)).cast("long").alias("label")
+        *by, "pooled", F.explode(F.sequence(F.lit(0).cast("long"), C("n_classes").cast("long") - 1)).alias("label")
     )
     j = grid.join(own, [*by, "label"], "left")
     q = F.when(C("n_values") >= min_class_rows, C("q")).otherwise(C("pooled"))

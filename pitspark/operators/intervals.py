@@ -158,3 +158,17 @@ def legs_on_date(
     wide = wide.dropna(subset=[f"__{n}" for n in legs])
     cols = {n: F.col(f"__{n}") for n in legs}
     return wide.select(date, visible, *[f(cols).alias(o) for o, f in formulas.items()])
+
+
+def trailing_count(
+    df: DataFrame, *, by: Sequence[str], time: str, tie: Sequence[str], seconds: int, out: str, bucket_seconds: int = DAY
+) -> DataFrame:
+    """Rows of the same key in (time - seconds, time], counted from running
+    numbers at both ends of the range instead of a window over the range."""
+    numbered = row_positions(df, SeriesKey(tuple(by), time, tuple(tie), bucket_seconds), pos="__n")
+    args = dict(right_time="__rt", strict=False, columns=["__n"], by=list(by), tie=["__n"], bucket_seconds=bucket_seconds)
+    right = numbered.select(*by, F.col(time).alias("__rt"), "__n")
+    now = asof_join(df.withColumn("__from", shift_seconds(F.col(time), -seconds)), right, left_time=time, prefix="__hi", **args)
+    then = asof_join(now, right, left_time="__from", prefix="__lo", **args)
+    count = F.col("__hi__n") - F.coalesce(F.col("__lo__n"), F.lit(0))
+    return then.select(*df.columns, count.alias(out))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions.mathfn import l2_norm
+from pitspark.functions.mathfn import cosine, dot, l2_norm, ratio
+from pitspark.functions.timefn import floor_time
+from pitspark.operators.lookups import attach_lookup
 
 
 def anchor_vectors(vectors: DataFrame, *, by: str, vec: str) -> DataFrame:
@@ -24,3 +26,78 @@ def anchor_vectors(vectors: DataFrame, *, by: str, vec: str) -> DataFrame:
     )
     norm = l2_norm(F.col("mean"))
     return packed.select(by, F.transform("mean", lambda x: x / norm).alias("anchor"))
+
+
+def anchor_cosines(vectors: DataFrame, anchors: DataFrame, *, id: str, vec: str, label: str = "label") -> DataFrame:
+    """(id, class, cosine) of every vector with every anchor. Anchors are a
+    bounded lookup attached as one array."""
+    rows = attach_lookup(vectors.select(id, vec), anchors.select(label, "anchor"), "__a")
+    return rows.select(id, vec, F.explode("__a").alias("a")).select(
+        id, F.col(f"a.{label}").alias("class"), cosine(F.col(vec), F.col("a.anchor")).alias("cosine")
+    )
+
+
+def bar_anchor_stats(
+    bars: DataFrame, cosines: DataFrame, *, at: str, time: str, seconds: int, lookback: int, top: int = 5
+) -> DataFrame:
+    """Per grid time and class: count, mean, max and mean of the ``top`` highest
+    cosines of the articles visible in the ``lookback`` grid steps before it.
+
+    Articles are first reduced to mergeable partials per grid step; a grid time
+    merges ``lookback`` partials, so no article is paired with the bars that
+    see it.
+    """
+    step = floor_time(F.col(time), seconds)
+    src = cosines.withColumn("__g", step)
+    sums = src.groupBy("__g", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cosine").alias("s"), F.max("cosine").alias("m")
+    )
+    rank = Window.partitionBy("__g", "class").orderBy(F.col("cosine").desc())
+    best = (
+        src.withColumn("__r", F.row_number().over(rank))
+        .filter(F.col("__r") <= top)
+        .groupBy("__g", "class")
+        .agg(F.collect_list("cosine").alias("best"))
+    )
+    parts = sums.join(best, ["__g", "class"])
+    reach = F.sequence(F.lit(1), F.lit(lookback))
+    later = parts.select("*", F.explode(reach).alias("__k"))
+    micro = F.lit(seconds) * F.col("__k")
+    later = later.withColumn(at, F.col("__g") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micro.cast("decimal(18,6)")))
+    merged = later.groupBy(at, "class").agg(
+        F.sum("n").alias("n_visible"),
+        (F.sum("s") / F.sum("n")).alias("mean_cosine"),
+        F.max("m").alias("max_cosine"),
+        F.slice(F.reverse(F.sort_array(F.flatten(F.collect_list("best")))), 1, top).alias("__best"),
+    )
+    merged = merged.withColumn(
+        "top_cosine", F.aggregate("__best", F.lit(0.0), lambda acc, x: acc + x) / F.size("__best")
+    ).drop("__best")
+    out = bars.join(merged, at, "left")
+    return out.withColumn("n_visible", F.coalesce("n_visible", F.lit(0))).withColumn("has_news", F.col("n_visible") > 0)
+
+
+def cohesion(vectors: DataFrame, anchors: DataFrame, *, by: str, vec: str) -> DataFrame:
+    """How tight each class is, without comparing its members pairwise.
+
+    The mean pairwise cosine follows from the sum of the unit vectors:
+    (|sum|^2 - n) / (n (n - 1)). ``min_to_anchor`` is the worst cosine to the
+    class anchor; by the angle sum no pair is below 2 c^2 - 1 (for c >= 0),
+    reported as ``pair_floor``.
+    """
+    unit = vectors.select(by, vec, l2_norm(F.col(vec)).alias("__n")).select(
+        by, F.transform(vec, lambda x: x / F.col("__n")).alias("u")
+    )
+    dims = unit.select(by, F.posexplode("u").alias("dim", "v")).groupBy(by, "dim").agg(F.sum("v").alias("s"))
+    sq = dims.groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
+    near = (
+        unit.join(anchors.select(by, "anchor"), by)
+        .groupBy(by)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(dot(F.col("u"), F.col("anchor"))).alias("min_to_anchor"))
+    )
+    j = sq.join(near, by)
+    n, c = F.col("n"), F.col("min_to_anchor")
+    return j.select(
+        by, "n", ratio(F.col("sq") - n, n * (n - 1)).alias("mean_pairwise"), "min_to_anchor",
+        F.when(c >= 0, 2 * c * c - 1).otherwise(F.lit(-1.0)).alias("pair_floor"),
+    )

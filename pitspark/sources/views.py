@@ -8,12 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.functions.mathfn import cosine, rnd
 from pitspark.functions.timefn import floor_time, shift_seconds
 from pitspark.operators.chunked import SeriesKey
+from pitspark.operators.lookups import attach_lookup
 from pitspark.session import prepare
 
 HOUR = 3600
@@ -22,10 +23,6 @@ DAY = 86_400
 BAR = SeriesKey(by=("symbol",), time="bar_close", chunk_seconds=7 * DAY)
 DAILY = SeriesKey(by=("symbol",), time="bar_close", chunk_seconds=365 * DAY)
 
-# A class lookup attached to every row must stay a lookup.
-MAX_CLASSES = 4096
-
-
 def ohlcv(ticks: DataFrame, *, seconds: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Open/high/low/close/volume bars from ticks (ts, event_id, price).
 
@@ -49,23 +46,6 @@ def ohlcv(ticks: DataFrame, *, seconds: int, by: tuple[str, ...] = ("symbol",))
     )
 
 
-def attach_lookup(df: DataFrame, lookup: DataFrame, name: str, limit: int = MAX_CLASSES) -> DataFrame:
-    """Attach a small table to every row as one array column.
-
-    The lookup is reduced to a single row first; more than ``limit`` entries
-    fail the job instead of silently growing the broadcast.
-    """
-    packed = lookup.agg(F.sort_array(F.collect_list(F.struct(*lookup.columns))).alias(name))
-    size = F.size(name)
-    checked = packed.select(
-        F.when(size <= limit, F.col(name))
-        .otherwise(F.raise_error(F.lit(f"lookup {name} exceeds {limit} entries")))
-        .alias(name),
-        F.lit(1).alias("__one"),
-    )
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(checked), "__one", "left").drop("__one")
-
-
 @dataclass(frozen=True)
 class Tables:
     """The base tables of one directory and the views over them."""
@@ -213,10 +193,3 @@ class Tables:
             )
         )
 
-
-def over_days(key: SeriesKey, days: int) -> SeriesKey:
-    return SeriesKey(key.by, key.time, key.tie, days * DAY)
-
-
-def as_bigint(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
