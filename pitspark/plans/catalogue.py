@@ -7,15 +7,11 @@ import importlib
 from pitspark.plans.registry import ORACLES, QUERIES
 
 MODULES = ("joins", "series", "sources", "quality", "visibility", "scalars", "aggregates",
-           "labels", "strategies", "backtests", "calibration", "sizing", "news", "analysis", "extended")
+           "labels", "strategies", "backtests", "calibration", "sizing", "news", "analysis", "extended", "flagship")
 
 MODULE_OF: dict[str, str] = {}
 for _m in MODULES:
-    try:
-        importlib.import_module(f"pitspark.plans.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"pitspark.plans.{_m}":
-            raise
+    importlib.import_module(f"pitspark.plans.{_m}")
     for _q in QUERIES:
         MODULE_OF.setdefault(_q, _m)
 
