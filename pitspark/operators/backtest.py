@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pitspark.functions.mathfn import BARS_PER_YEAR, EULER_GAMMA, linear_cost, normal_cdf, normal_quantile, ratio
 from pitspark.operators.chunked import CHUNK, Running, SeriesKey, over_rows, row_positions, running
+from pitspark.operators.ranks import exact_quantiles
+from pitspark.session import materialise
 
 C = F.col
 CostModel = Callable[[Column], Column]
@@ -296,9 +298,8 @@ def bootstrap_sharpe(
     mean = C("__m1") / C("__n")
     var = F.greatest(C("__m2") / C("__n") - mean * mean, F.lit(0.0))
     sharpe = F.coalesce(ratio(mean, F.sqrt(var)) * math.sqrt(bars_per_year), F.lit(0.0))
-    from pitspark.operators.ranks import exact_quantiles
-
-    sh = stats.select(*by, sharpe.alias("sharpe"))
+    # One row per replicate from here on.
+    sh = materialise(stats.select(*by, sharpe.alias("sharpe")))
     tail = (1 - level) / 2
     q = exact_quantiles(sh, by, "sharpe", {"ci_low": tail, "ci_high": 1 - tail})
     return sh.groupBy(*by).agg(F.avg("sharpe").alias("mean_sharpe")).join(q, by).drop("n_values")

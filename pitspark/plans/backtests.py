@@ -99,7 +99,8 @@ def test_rows(t: Tables):
 
 def strategy_rows(t: Tables):
     base = materialise(test_rows(t))
-    return ST.run_strategies(base, FOLD_KEY, STRATEGIES, ["symbol", "fold", "bar_close", "next_return", "news"])
+    keep = ["symbol", "fold", "bar_close", "next_return", "news"]
+    return materialise(ST.run_strategies(base, FOLD_KEY, STRATEGIES, keep))
 
 
 @query(
