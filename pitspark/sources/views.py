@@ -15,6 +15,7 @@ from pitspark.functions.mathfn import cosine, rnd
 from pitspark.functions.timefn import floor_time, shift_seconds
 from pitspark.operators.chunked import SeriesKey
 from pitspark.operators.lookups import attach_lookup
+from pitspark.operators.versions import order_key
 from pitspark.session import prepare
 
 HOUR = 3600
@@ -26,10 +27,10 @@ DAILY = SeriesKey(by=("symbol",), time="bar_close", chunk_seconds=365 * DAY)
 def ohlcv(ticks: DataFrame, *, seconds: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Open/high/low/close/volume bars from ticks (ts, event_id, price).
 
-    Partial aggregates run before the shuffle, so a bar of any size costs one
-    row per map task. A bar is released, and visible, at its end.
+    Partial hash aggregates run before the shuffle, so a bar of any size costs
+    one row per map task. A bar is released, and visible, at its end.
     """
-    order = F.struct("ts", "event_id")
+    order = order_key(F.col("ts"), F.col("event_id"))
     return (
         ticks.groupBy(*by, floor_time(F.col("ts"), seconds).alias("bar_open"))
         .agg(
