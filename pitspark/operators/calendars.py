@@ -27,12 +27,10 @@ def event_schedule(first: DataFrame, first_time: str, last: DataFrame | None = N
 
     One row per event, a few dozen per year. Schedules are public a year ahead.
     """
-    lo = first.agg(F.min(first_time).alias("lo"), F.max(first_time).alias("hi0"))
+    times = first.select(F.col(first_time).alias("__t"))
     if last is not None:
-        hi = last.agg(F.max(last_time).alias("hi"))
-        span = lo.join(F.broadcast(hi))  # two single-row aggregates
-    else:
-        span = lo.withColumnRenamed("hi0", "hi")
+        times = times.unionByName(last.select(F.col(last_time).alias("__t")))
+    span = times.agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
     y0, y1 = F.year("lo"), F.year("hi")
     months = span.select(
         F.explode(
