@@ -73,7 +73,7 @@ def finish(d: DataFrame, *cols: str, keys=KEY, places: int = 6) -> DataFrame:
 @query(
     "lagged_bars",
     """SELECT symbol, bar_close, lag(open) OVER w AS lag1_open, lag(high) OVER w AS lag1_high, lag(low) OVER w AS lag1_low,
-              lag(close) OVER w AS lag1_close, lag(volume) OVER w AS lag1_volume, round(lag(vwap) OVER w, 6) AS lag1_vwap,
+              lag(close) OVER w AS lag1_close, lag(volume) OVER w AS lag1_volume, round(lag(vwap) OVER w, 8) AS lag1_vwap,
               lead(close) OVER w AS next_close
        FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_close)""",
     "bars",
@@ -84,7 +84,7 @@ def lagged_bars(t: Tables):
 
     def compute(d, w):
         d = with_cols(d, next_close=F.lead("close").over(w), **{f"lag1_{f}": F.lag(f).over(w) for f in fields})
-        return d.withColumn("lag1_vwap", rnd(C("lag1_vwap")))
+        return d.withColumn("lag1_vwap", rnd(C("lag1_vwap"), 8))
 
     out = over_rows(bars_of(t, *fields), BAR, compute, lookback=1, lookahead=1)
     return out.select(*KEY, *[f"lag1_{f}" for f in fields], "next_close")
@@ -92,14 +92,14 @@ def lagged_bars(t: Tables):
 
 @query(
     "change_1d",
-    """SELECT series_id, date, value AS level, round(value - lag(value) OVER (PARTITION BY series_id ORDER BY date), 6) AS change_1d
+    """SELECT series_id, date, value AS level, round(value - lag(value) OVER (PARTITION BY series_id ORDER BY date), 8) AS change_1d
        FROM latests""",
     "latests",
 )
 def change_1d(t: Tables):
     """Level and one-step change of the latest revision."""
     levels = latest_by(t.vintages, ["series_id", "date"], order=["realtime_start"], pick=["value"])
-    out = over_rows(levels, SERIES, lambda d, w: d.withColumn("change_1d", rnd(R.diff(C("value"), 1, w))), lookback=1)
+    out = over_rows(levels, SERIES, lambda d, w: d.withColumn("change_1d", rnd(R.diff(C("value"), 1, w), 8)), lookback=1)
     return out.select("series_id", "date", C("value").alias("level"), "change_1d")
 
 

@@ -251,13 +251,13 @@ def settled_days(t: Tables):
 
 @query(
     "ohlcv_bars",
-    "SELECT symbol, bar_open, bar_close, open, high, low, close, volume, round(vwap, 5) AS vwap FROM bars",
+    "SELECT symbol, bar_open, bar_close, open, high, low, close, volume, round(vwap, 8) AS vwap FROM bars",
     "bars",
 )
 def ohlcv_bars(t: Tables):
     """Hourly bars built from ticks."""
     return t.bars.select(
-        "symbol", "bar_open", "bar_close", "open", "high", "low", "close", "volume", rnd(C("vwap"), 5).alias("vwap")
+        "symbol", "bar_open", "bar_close", "open", "high", "low", "close", "volume", rnd(C("vwap"), 8).alias("vwap")
     )
 
 
