@@ -261,7 +261,7 @@ def bootstrap_sharpe(
     mean_len = F.lit(float(block)) if block else F.greatest(F.lit(1.0), F.floor(F.cbrt(C("__n").cast("double"))))
     size = size.withColumn("__len", mean_len)
     expected = C("__n") / C("__len")
-    n_blocks = F.ceil(expected + 6 * F.sqrt(expected) + 20).cast("int")
+    n_blocks = F.ceil(expected + 4 * F.sqrt(expected) + 8).cast("int")
     reps = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
     blocks = reps.select("*", F.explode(F.sequence(F.lit(1), n_blocks)).alias("__k"))
 
