@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import exact, language, quality
+from pitspark.llm import decontam, exact, language, packing, quality, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.query,
     "op4_exact_dedup": exact.query,
+    "op5_url_rules": urlrules.query,
+    "op7_decontamination": decontam.query,
     "op8_quality": quality.query,
     "op10_language": language.query,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.ORACLE,
+    "op5_url_rules": urlrules.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
 }
