@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import decontam, exact, language, packing, quality, urlrules
+from pitspark.llm import decontam, disclosure, exact, language, packing, quality, toxicity, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op4_exact_dedup": exact.query,
     "op5_url_rules": urlrules.query,
+    "op6_toxicity": toxicity.query,
     "op7_decontamination": decontam.query,
     "op8_quality": quality.query,
+    "op9_disclosure": disclosure.query,
     "op10_language": language.query,
 }
 
