@@ -1,10 +1,14 @@
-"""The corpus pipeline: each stage works on all rows that the one before it kept."""
+"""The corpus pipeline: each stage works on all rows that the one before it kept.
+
+A document whose text is null counts as empty in every stage. Empty tables pass through. Columns beyond those of
+`documents` stay, whatever their names, until packing, which returns one row for each piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import exact, quality
+from pitspark.llm import decontam, exact, nearmatch, packing, quality
 from pitspark.llm.common import stored, table
 
 
@@ -18,9 +22,30 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs)
 
 
-STAGES = [("quality", quality_filter), ("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts stays."""
+    return nearmatch.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of the benchmark go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, tokenised and packed into sequences."""
+    return packing.pack(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", best_fit_packing),
+]
 
-#: Trained models and approximate candidate search are not SQL; tests compare the stages with brute force.
+#: A trained model, a tokenizer and a packing plan are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import decontam, disclosure, exact, language, nearmatch, packing, quality, toxicity, urlrules
+from pitspark.llm import decontam, disclosure, exact, language, nearmatch, packing, quality, substrings, toxicity, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op2_substrings": substrings.query,
     "op3_near_dedup": nearmatch.query,
     "op4_exact_dedup": exact.query,
     "op5_url_rules": urlrules.query,
