@@ -89,7 +89,7 @@ def grams(block: Block, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.
     c = block.codes.astype(np.uint64)
     h = c.copy()
     for n in range(1, max(sizes) + 1):
-        if n > 1:
+        if 1 < n <= len(c):
             h[: len(c) - n + 1] += c[n - 1 :] * np.uint64(pow(0x100000001B3, n - 1, 1 << 64))
         if n in sizes:
             bucket = ((h * np.uint64((int(_MIX) + 2 * n) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int32)

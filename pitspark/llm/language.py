@@ -73,7 +73,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     got = docs.select(F.coalesce(F.col("text"), F.lit(""))).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     out = np.zeros(1 << BITS, dtype=np.int64)
     real = got[got["bucket"] >= 0]
-    out[real["bucket"].to_numpy()] = real["df"].to_numpy()
+    out[real["bucket"].to_numpy(dtype=np.int64)] = real["df"].to_numpy(dtype=np.int64)
     return out, int(got.loc[got["bucket"] < 0, "df"].sum())
 
 

@@ -236,7 +236,7 @@ def pack(docs: DataFrame, path: str, capacity: Capacity = Capacity(), rule: str
     ranked = stored(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     stats = ranked.groupBy(part.alias("part"), "length").agg(F.min("at").alias("first"), F.count("*").alias("n")).toPandas().sort_values(["length", "part"])
-    before = (stats.groupby("length")["n"].cumsum() - stats["n"]).to_numpy(dtype=np.int64)
+    before = (stats.groupby("length")["n"].cumsum() - stats["n"]).to_numpy().astype(np.int64)
     plan = best_fit({int(k): int(v) for k, v in stats.groupby("length")["n"].sum().items()}, capacity, rule)
     stat_key = (stats["length"].to_numpy(dtype=np.int64) << 31) + stats["part"].to_numpy(dtype=np.int64)
     shift = before - stats["first"].to_numpy(dtype=np.int64)

@@ -99,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """`docs` with the probability of class 1 as column `name`."""
+    """`docs` with the probability of class 1 as column `name` (with underscores in front if `docs` has one)."""
+    name = fresh(docs.columns, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
