@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": nearmatch.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op5_url_rules": urlrules.ORACLE,
     "op7_decontamination": decontam.ORACLE,
