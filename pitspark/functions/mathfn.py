@@ -60,17 +60,29 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+# Fixed values of the published double-precision rational form (Hart 5666).
+CDF_TOP = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+CDF_FAR = 7.07106781186547
+
+
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function from the Abramowitz-Stegun 26.2.17
-    polynomial (absolute error below 7.5e-8), so it stays in generated code."""
-    # Fixed values of the published approximation.
-    b0, b = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    """Standard normal distribution function to double precision (absolute error
+    below 1e-14): a rational form, and a continued fraction in the far tail."""
     x = F.abs(z)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(b0) * x)
-    poly = F.lit(0.0)
-    for coef in reversed(b):
-        poly = (poly + F.lit(coef)) * t
-    upper = F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi) * poly
+
+    def poly(coefs: tuple[float, ...]) -> Column:
+        out = F.lit(coefs[0])
+        for c in coefs[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    tail = x + F.lit(0.65)
+    for k in (4.0, 3.0, 2.0, 1.0):
+        tail = x + F.lit(k) / tail
+    near = F.exp(-x * x / 2.0) * poly(CDF_TOP) / poly(CDF_BOTTOM)
+    far = F.exp(-x * x / 2.0) / tail / F.lit(math.sqrt(2.0 * math.pi))
+    upper = F.when(x < CDF_FAR, near).otherwise(far)
     return F.when(z >= 0, F.lit(1.0) - upper).otherwise(upper)
 
 

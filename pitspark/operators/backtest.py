@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions.mathfn import BARS_PER_YEAR, EULER_GAMMA, linear_cost, normal_cdf, normal_quantile, ratio
-from pitspark.operators.chunked import CHUNK, Running, SeriesKey, over_rows, row_positions, running
+from pitspark.operators.chunked import Running, SeriesKey, over_rows, row_positions, running
 from pitspark.operators.ranks import exact_quantiles
 from pitspark.session import materialise
 
@@ -41,7 +41,7 @@ def equity(df: DataFrame, key: SeriesKey, *, pnl_col: str = "pnl", initial: floa
     """Add ``equity`` and its running ``peak``. Both prefixes use the same
     chunks, so the second one needs no further shuffle of the rows."""
     cum = running(df, key, [Running("__cum", "sum", C(pnl_col))], keep_chunk=True)
-    top = running(cum, key, [Running("__top", "max", C("__cum"))], chunk=C(CHUNK))
+    top = running(cum, key, [Running("__top", "max", C("__cum"))])
     return (
         top.withColumn("equity", F.lit(initial) * F.exp("__cum"))
         .withColumn("peak", F.lit(initial) * F.exp("__top"))
@@ -238,7 +238,7 @@ def bootstrap_sharpe(
     key: SeriesKey,
     *,
     pnl_col: str = "pnl",
-    replicates: int = 1000,
+    replicates: int = 5000,
     block: int | None = None,
     level: float = 0.95,
     seed: int = 17,
@@ -261,7 +261,8 @@ def bootstrap_sharpe(
     mean_len = F.lit(float(block)) if block else F.greatest(F.lit(1.0), F.floor(F.cbrt(C("__n").cast("double"))))
     size = size.withColumn("__len", mean_len)
     expected = C("__n") / C("__len")
-    n_blocks = F.ceil(expected + 4 * F.sqrt(expected) + 8).cast("int")
+    # Enough draws that a replicate falls short of its length once in 1e12.
+    n_blocks = F.ceil(expected + 8 * F.sqrt(expected) + 16).cast("int")
     reps = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
     blocks = reps.select("*", F.explode(F.sequence(F.lit(1), n_blocks)).alias("__k"))
 
@@ -274,7 +275,7 @@ def bootstrap_sharpe(
     w = Window.partitionBy(*by, "__b").orderBy("__k")
     b = blocks.withColumn("__start", start).withColumn("__want", F.greatest(length, F.lit(1)).cast("long"))
     b = b.withColumn("__before", F.sum("__want").over(w) - C("__want"))
-    # The last block of a replicate takes whatever is left.
+    # Blocks are taken until the length is reached.
     last = C("__k") == n_blocks
     b = b.withColumn("__take", F.when(last, C("__n") - C("__before")).otherwise(F.least("__want", C("__n") - C("__before"))))
     b = b.filter(C("__take") > 0)

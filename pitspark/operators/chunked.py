@@ -8,7 +8,8 @@ through a window over the chunk table, which has one row per chunk, and come
 back by an equi join on (series, chunk); the rows themselves are only ever
 partitioned by (series, chunk).
 
-Rows with a null series key belong to no series and are dropped.
+Null is a series key like any other, as in GROUP BY. Rows without a time stand
+before all others of their series.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from pitspark.functions.timefn import micros, time_chunk
 CHUNK = "__chunk"
 BLOCK = "__block"
 POS = "__pos"
+PART = "__part"
+NO_TIME = -(1 << 62)
 
 Order = Sequence[Column | str]
 
@@ -53,12 +55,11 @@ class SeriesKey:
 
 
 def _with_chunk(df: DataFrame, key: SeriesKey, chunk: Column | None) -> DataFrame:
-    """Add the chunk column, never null: the chunk join would otherwise filter
-    nulls on one branch only and the branches could not share a shuffle."""
-    c = F.coalesce(key.chunk(), F.lit(-(1 << 62))) if chunk is None else chunk
-    if key.by:
-        df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key.by]))
-    return df.withColumn(CHUNK, c)
+    """Add the partition: series keys and chunk as one struct. It is never null, and its null fields are equal in a join,
+    so a null series key keeps its rows and both branches share a shuffle."""
+    c = F.coalesce(key.chunk(), F.lit(NO_TIME)) if chunk is None else chunk
+    # a partition that an earlier call left in place is reused with its shuffle
+    return df if PART in df.columns else df.withColumn(PART, F.struct(*key.by, c.alias(CHUNK)))
 
 
 def shared_shuffle(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -78,13 +79,13 @@ def shared_shuffle(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Colum
 def row_positions(df: DataFrame, key: SeriesKey, pos: str = POS, chunk: Column | None = None) -> DataFrame:
     """Add the 1-based row number inside each series (two-level: chunk sizes are
     summed over the chunk table, rows are numbered inside their chunk)."""
-    by = list(key.by)
-    cut, zero = shared_shuffle(_with_chunk(df, key, chunk), [*by, CHUNK])
-    sizes = cut.groupBy(*by, CHUNK).agg(F.sum(zero + 1).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*key.order)
-    numbered = cut.withColumn("__rn", F.row_number().over(inside)).join(offsets, [*by, CHUNK])
+    cut, zero = shared_shuffle(_with_chunk(df, key, chunk), [PART])
+    sizes = cut.groupBy(PART).agg(F.sum(zero + 1).alias("__n"))
+    series = [F.col(f"{PART}.{k}") for k in key.by]
+    before = Window.partitionBy(*series).orderBy(f"{PART}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy(PART).orderBy(*key.order)
+    numbered = cut.withColumn("__rn", F.row_number().over(inside)).join(offsets, PART)
     return numbered.select(*df.columns, (F.col("__rn").cast("long") + F.col("__off")).alias(pos))
 
 
@@ -139,12 +140,13 @@ def over_time(
 ) -> DataFrame:
     """Like :func:`over_rows` for RANGE frames reaching ``seconds`` back: time
     chunks overlap by that much. ``compute`` gets a window ordered by time in
-    microseconds, so frame bounds are plain numbers. One shuffle."""
+    microseconds, so frame bounds are plain numbers. Rows without a time are
+    a frame of their own. One shuffle."""
     if seconds > key.chunk_seconds:
         raise ValueError("chunk_seconds must be at least the range of the frame")
     width = key.chunk_seconds * 1_000_000
     us = micros(F.col(key.time))
-    cut = df.withColumn("__us", us).withColumn("__home", key.chunk())
+    cut = df.withColumn("__us", us).withColumn("__home", F.coalesce(key.chunk(), F.lit(NO_TIME)))
     late = F.pmod(F.col("__us"), F.lit(width)) >= width - seconds * 1_000_000
     spread = cut.withColumn(
         CHUNK, F.explode(F.array_compact(F.array(F.col("__home"), F.when(late, F.col("__home") + 1))))
@@ -171,29 +173,50 @@ def ewm_lookback(alpha: float, floor: float = 1e-18) -> int:
 
 
 def ewm_block(alpha: float, lookback: int | None = None) -> int:
-    """Largest block the scaled prefix sum of :func:`ewm` may span without
+    """Largest block the scaled prefix sum of :func:`with_ewm` may span without
     leaving the double range (weights stay above 1e-290)."""
     reach = ewm_lookback(alpha) if lookback is None else lookback
     limit = int(290 * math.log(10) / -math.log(1.0 - alpha)) - reach
     return max(reach, min(max(4096, 4 * reach), limit))
 
 
-def ewm(value: Column, alpha: float, w: WindowSpec, first_pos: Column | int = 1) -> Column:
-    """Recursive exponential average y = (1-a) y' + a x, seeded with the first
-    value of the series, as a running window sum.
+@dataclass(frozen=True)
+class Ewm:
+    """One recursive exponential average of ``value``; rows before the series
+    position ``first_pos`` don't count."""
+
+    value: Column
+    alpha: float
+    first_pos: int = 1
+
+
+def with_ewm(df: DataFrame, w: WindowSpec, specs: dict[str, Ewm]) -> DataFrame:
+    """Add recursive exponential averages, seeded with the first value.
 
-    y_i = sum_j a (1-a)^(i-j) x_j is evaluated as a scaled prefix sum inside the
-    block of :func:`over_rows`; rows older than the halo weigh less than 1e-18.
-    ``first_pos`` is the series position that carries the seed.
+    Each value moves the average by y = c y' + (1-c) x. Without gaps c is
+    1 - alpha. A gap carries the average forward while the weight of the past
+    goes on falling: g rows after the last value, c = d^g / (d^g + alpha) with
+    d = 1 - alpha. The recursion is evaluated as a prefix sum inside the block
+    of :func:`over_rows`, scaled by the running product of c; without gaps,
+    rows older than the halo weigh less than 1e-18.
     """
-    start = F.min(POS).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    step = (F.col(POS) - start).cast("double")
-    seed = F.lit(first_pos) if isinstance(first_pos, int) else first_pos
-    weight = F.when(F.col(POS) == seed, F.lit(1.0)).otherwise(F.lit(alpha))
-    decay = F.lit(1.0 - alpha)
-    scaled = F.when(F.col(POS) >= seed, weight * value * F.pow(decay, -step))
-    total = F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(F.col(POS) >= seed, total * F.pow(decay, step))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    name = lambda part, out: f"__{part}_{out}"
+    pick = lambda part, out: F.col(name(part, out))
+    d = df.withColumns({name("x", o): F.when(F.col(POS) >= s.first_pos, s.value) for o, s in specs.items()})
+    d = d.withColumns({name("p", o): F.last(F.when(pick("x", o).isNotNull(), F.col(POS)), ignorenulls=True).over(before) for o in specs})
+
+    def factor(o: str, s: Ewm) -> Column:
+        past = F.pow(F.lit(1.0 - s.alpha), (F.col(POS) - pick("p", o)).cast("double"))
+        return F.when(pick("x", o).isNotNull() & pick("p", o).isNotNull(), past / (past + s.alpha))
+
+    d = d.withColumns({name("c", o): factor(o, s) for o, s in specs.items()})
+    d = d.withColumns({name("l", o): F.sum(F.coalesce(-F.ln(pick("c", o)), F.lit(0.0))).over(upto) for o in specs})
+    weight = lambda o: F.when(pick("p", o).isNull(), F.lit(1.0)).otherwise(1 - pick("c", o))
+    d = d.withColumns({name("s", o): F.sum(weight(o) * pick("x", o) * F.exp(pick("l", o))).over(upto) for o in specs})
+    d = d.withColumns({o: pick("s", o) * F.exp(-pick("l", o)) for o in specs})
+    return d.drop(*[name(p, o) for o in specs for p in "xpcls"])
 
 
 @dataclass(frozen=True)
@@ -214,11 +237,10 @@ def running(
 ) -> DataFrame:
     """Unbounded prefix aggregates (inclusive of the current row) per series:
     prefix inside the chunk combined with the totals of all earlier chunks.
-    ``keep_chunk`` leaves the chunk column in place so that a following call
-    can pass it back and reuse the partitioning."""
-    by = list(key.by)
+    ``keep_chunk`` leaves the partition column in place so that a following call
+    reuses the partitioning."""
     cut = _with_chunk(df, key, chunk).withColumns({f"__v_{s.out}": s.value for s in specs})
-    cut, zero = shared_shuffle(cut, [*by, CHUNK])
+    cut, zero = shared_shuffle(cut, [PART])
     order = F.struct(*[F.col(c) for c in key.order])
 
     def total(s: Running) -> Column:
@@ -227,11 +249,12 @@ def running(
             return F.max_by(v, F.when(v.isNotNull(), order))
         return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[s.kind](v)
 
-    totals = cut.groupBy(*by, CHUNK).agg(
+    totals = cut.groupBy(PART).agg(
         F.max(zero).alias("__z"), *[total(s).alias(f"__t_{s.out}") for s in specs]
     )
     totals = totals.filter(F.col("__z") == 0)
-    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    series = [F.col(f"{PART}.{k}") for k in key.by]
+    before = Window.partitionBy(*series).orderBy(f"{PART}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(s: Running) -> Column:
         t = F.col(f"__t_{s.out}")
@@ -240,10 +263,8 @@ def running(
         fold = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[s.kind]
         return fold(t).over(before)
 
-    carry = totals.select(*by, CHUNK, *[carried(s).alias(f"__c_{s.out}") for s in specs])
-    upto = (
-        Window.partitionBy(*by, CHUNK).orderBy(*key.order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    carry = totals.select(PART, *[carried(s).alias(f"__c_{s.out}") for s in specs])
+    upto = Window.partitionBy(PART).orderBy(*key.order).rowsBetween(Window.unboundedPreceding, 0)
 
     def local(s: Running) -> Column:
         v = F.col(f"__v_{s.out}")
@@ -259,10 +280,10 @@ def running(
             return F.coalesce(here, c)
         return (F.greatest if s.kind == "max" else F.least)(here, c)
 
-    out = cut.withColumns({f"__l_{s.out}": local(s) for s in specs}).join(carry, [*by, CHUNK])
+    out = cut.withColumns({f"__l_{s.out}": local(s) for s in specs}).join(carry, PART)
     out = out.withColumns({s.out: merged(s) for s in specs})
     helper = [f"__{p}_{s.out}" for s in specs for p in "vlc"]
-    return out.drop(*helper, *([] if keep_chunk else [CHUNK]))
+    return out.drop(*helper, *([] if keep_chunk else [PART]))
 
 
 def chunk_scan(
@@ -294,4 +315,6 @@ def chunk_scan(
     keys = f"{keys}, {BLOCK} long" if keys else f"{BLOCK} long"
     parts = rows.groupBy(*by, BLOCK).applyInPandas(summarise, f"{keys}, {summary_schema}")
     states = parts.groupBy(*by).applyInPandas(chain, f"{keys}, {carry_schema}")
-    return rows.join(states, [*by, BLOCK]).groupBy(*by, BLOCK).applyInPandas(apply, out_schema)
+    block = F.struct(*by, BLOCK).alias(PART)  # null keys are equal inside a struct
+    states = states.select(block, *[c for c in states.columns if c not in (*by, BLOCK)])
+    return rows.select("*", block).join(states, PART).drop(PART).groupBy(*by, BLOCK).applyInPandas(apply, out_schema)

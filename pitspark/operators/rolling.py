@@ -1,10 +1,9 @@
 """Window features as Column builders.
 
 Every builder takes the window handed out by :func:`chunked.over_rows`; the
-caller declares how many rows the deepest expression reaches back. Frames up
-to ``WIDE`` rows use sliding aggregates (codegen, one sort shared by all);
-wider frames use differences of prefix sums, whose cost per row does not grow
-with the width.
+caller declares how many rows the deepest expression reaches back. All frames
+are sliding aggregates that share one sort; a value depends on the rows of its
+frame alone, so constant or drifting series lose no digits.
 """
 
 from __future__ import annotations
@@ -12,18 +11,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, WindowSpec
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitspark.functions.mathfn import ratio, safe_ln
 from pitspark.operators.chunked import guarded, trailing
 
-WIDE = 96
-
-
-def _upto(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(W.unboundedPreceding, 0)
-
 
 def diff(x: Column, k: int, w: WindowSpec) -> Column:
     return x - F.lag(x, k).over(w)
@@ -45,59 +37,28 @@ def std(x: Column, rows: int, min_periods: int, w: WindowSpec) -> Column:
     return guarded(F.stddev_samp(x), x, trailing(w, rows), min_periods)
 
 
-def _prefix_gap(v: Column, rows: int, w: WindowSpec) -> Column:
-    """Sum of the last ``rows`` values from two prefix sums."""
-    upto = F.coalesce(F.sum(v).over(_upto(w)), F.lit(0.0))
-    before = F.coalesce(F.sum(v).over(w.rowsBetween(W.unboundedPreceding, -rows)), F.lit(0.0))
-    return upto - before
-
-
-def wide_moments(x: Column, rows: int, w: WindowSpec) -> tuple[Column, Column, Column]:
-    """(count, mean, sample variance) over a wide trailing frame."""
-    origin = F.first(x, ignorenulls=True).over(_upto(w))
-    d = x - origin
-    n = _prefix_gap(x.isNotNull().cast("double"), rows, w)
-    s = _prefix_gap(d, rows, w)
-    q = _prefix_gap(d * d, rows, w)
-    avg = F.when(n > 0, origin + s / n)
-    raw = (q - s * s / n) / (n - 1)
-    # Below the resolution of the sums a variance is zero.
-    var = F.when(n > 1, F.when(raw > q * 1e-13, raw).otherwise(F.lit(0.0)))
-    return n, avg, var
+def moments(x: Column, rows: int, w: WindowSpec) -> tuple[Column, Column, Column]:
+    """(count, mean, sample variance) over a trailing frame."""
+    frame = trailing(w, rows)
+    return F.count(x).over(frame), F.avg(x).over(frame), F.var_samp(x).over(frame)
 
 
 def zscore(x: Column, rows: int, min_periods: int, w: WindowSpec) -> Column:
     """(x - mean) / std over the trailing frame including the current row."""
-    if rows > WIDE:
-        n, avg, var = wide_moments(x, rows, w)
-        return F.when(n >= min_periods, ratio(x - avg, F.sqrt(var)))
     frame = trailing(w, rows)
     z = ratio(x - F.avg(x).over(frame), F.stddev_samp(x).over(frame))
     return F.when(F.count(x).over(frame) >= min_periods, z)
 
 
-def wide_std(x: Column, rows: int, min_periods: int, w: WindowSpec) -> Column:
-    if rows <= WIDE:
-        return std(x, rows, min_periods, w)
-    n, _, var = wide_moments(x, rows, w)
-    return F.when(n >= min_periods, F.sqrt(var))
-
-
 def correlation(x: Column, y: Column, rows: int, min_periods: int, w: WindowSpec) -> Column:
-    """Pearson correlation of the rows of the frame where both are present."""
+    """Pearson correlation of the rows of the frame where both are present; NULL
+    where one of them does not vary."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    if rows <= WIDE:
-        return guarded(F.corr(a, b), a, trailing(w, rows), min_periods)
-    ox = F.first(a, ignorenulls=True).over(_upto(w))
-    oy = F.first(b, ignorenulls=True).over(_upto(w))
-    dx, dy = a - ox, b - oy
-    n = _prefix_gap(both.cast("double"), rows, w)
-    sx, sy = _prefix_gap(dx, rows, w), _prefix_gap(dy, rows, w)
-    sxx, syy, sxy = (_prefix_gap(v, rows, w) for v in (dx * dx, dy * dy, dx * dy))
-    cov = sxy - sx * sy / n
-    scale = F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
-    return F.when(n >= min_periods, ratio(cov, scale))
+    frame = trailing(w, rows)
+    moves = (F.min(a).over(frame) < F.max(a).over(frame)) & (F.min(b).over(frame) < F.max(b).over(frame))
+    scale = F.stddev_samp(a).over(frame) * F.stddev_samp(b).over(frame)
+    return F.when(moves & (F.count(a).over(frame) >= min_periods), ratio(F.covar_samp(a, b).over(frame), scale))
 
 
 def garman_klass(o: Column, h: Column, lo: Column, c: Column, rows: int, min_periods: int, w: WindowSpec) -> Column:

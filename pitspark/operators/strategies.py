@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pitspark.functions.mathfn import clip, ratio
 from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join
-from pitspark.operators.chunked import POS, Running, SeriesKey, ewm, ewm_block, ewm_lookback, over_rows, running
+from pitspark.operators.chunked import POS, Ewm, Running, SeriesKey, ewm_block, ewm_lookback, over_rows, running, with_ewm
 
 Strategy = Callable[[DataFrame, SeriesKey], DataFrame]
 POSITION = "position"
 C = F.col
+MISSING = -1e30
 
 
 def buy_hold() -> Strategy:
@@ -36,9 +37,10 @@ def ma_cross(fast: int = 50, slow: int = 200, *, flat_below: bool = False, warmu
 
     def run(df: DataFrame, key: SeriesKey) -> DataFrame:
         def compute(d, w):
-            d = d.withColumn("__raw", F.when(ewm(C("close"), a, w) > ewm(C("close"), b, w), 1.0).otherwise(below))
+            d = with_ewm(d, w, {"__fast": Ewm(C("close"), a), "__slow": Ewm(C("close"), b)})
+            d = d.withColumn("__raw", F.when(C("__fast") > C("__slow"), 1.0).otherwise(below))
             held = F.coalesce(F.lag("__raw").over(w), F.lit(0.0))
-            return d.withColumn(POSITION, F.when(C(POS) > warm, held).otherwise(0.0)).drop("__raw")
+            return d.withColumn(POSITION, F.when(C(POS) > warm, held).otherwise(0.0)).drop("__raw", "__fast", "__slow")
 
         block = min(ewm_block(a, reach), ewm_block(b, reach))
         return over_rows(df, key, compute, lookback=reach, block_rows=block)
@@ -97,8 +99,9 @@ def daily_fill(
             d = d.withColumn("__step", step)
             upto = F.avg("__step").over(w.rowsBetween(-(atr_window - 1), 0))
             d = d.withColumn("__seeded", F.when(C(POS) == atr_window, upto).otherwise(C("__step")))
-            atr = F.when(C(POS) < atr_window, upto).otherwise(ewm(C("__seeded"), g, w, atr_window))
-            trend = F.signum(ewm(C("close"), a, w) - ewm(C("close"), b, w))
+            d = with_ewm(d, w, {"__atr": Ewm(C("__seeded"), g, atr_window), "__fast": Ewm(C("close"), a), "__slow": Ewm(C("close"), b)})
+            atr = F.when(C(POS) < atr_window, upto).otherwise(C("__atr"))
+            trend = F.signum(C("__fast") - C("__slow"))
             mom = F.coalesce(F.signum(ratio(C("close"), F.lag("close", momentum).over(w)) - 1), F.lit(0.0))
             rel = ratio(atr, C("close"))
             size = F.when(rel > 0, clip(F.lit(vol_target) / rel, 0.0, max_position)).otherwise(0.0)
@@ -132,18 +135,21 @@ def run_strategies(df: DataFrame, key: SeriesKey, strategies: Mapping[str, Strat
 
 
 def tree_positions(
-    df: DataFrame, *, features: list[str], label: str, train: Column, out: str = POSITION, trees: int = 20, depth: int = 5, seed: int = 11
+    df: DataFrame, *, features: list[str], label: str, train: Column, out: str = POSITION, trees: int = 500, depth: int = 6, seed: int = 11
 ) -> DataFrame:
-    """Three-class random forest on features; predicted class - 1. Zeros when
-    the training rows hold fewer than two classes."""
+    """Three-class random forest on features; predicted class - 1 for every row.
+    A missing feature is a value below all others. Zeros when the training rows
+    hold fewer than two classes. (The trees are bagged, not boosted: boosting
+    here has two classes only.)"""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.dropna(subset=features)
-    vec = VectorAssembler(inputCols=features, outputCol="__x").transform(rows)
+    filled = {f: f"__f{i}" for i, f in enumerate(features)}
+    rows = df.withColumns({new: F.coalesce(C(old).cast("double"), F.lit(MISSING)) for old, new in filled.items()})
+    vec = VectorAssembler(inputCols=list(filled.values()), outputCol="__x").transform(rows)
     fit_rows = vec.filter(train & C(label).isNotNull()).withColumn("__y", C(label).cast("double"))
     if fit_rows.select("__y").distinct().limit(2).count() < 2:
-        return rows.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0.0))
     model = RandomForestClassifier(
         featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(fit_rows)
@@ -154,7 +160,8 @@ def linear_positions(
     df: DataFrame, key: SeriesKey, *, train: Column, target: str, lookback: int = 16, trend_rows: int = 8, scale: float = 1.0, out: str = POSITION
 ) -> DataFrame:
     """Linear model on the trend and seasonal parts of the last ``lookback``
-    returns, squashed by tanh. The moving average is causal."""
+    returns, squashed by tanh, for every row; a missing input counts as 0. The
+    moving average is causal."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -167,7 +174,8 @@ def linear_positions(
         return d
 
     cols = [f"__{p}{k}" for p in "ts" for k in range(lookback)]
-    feats = over_rows(df, key, compute, lookback=lookback + trend_rows + 1).dropna(subset=cols)
+    feats = over_rows(df, key, compute, lookback=lookback + trend_rows + 1)
+    feats = feats.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
     vec = VectorAssembler(inputCols=cols, outputCol="__x").transform(feats)
     fit_rows = vec.filter(train & C(target).isNotNull())
     model = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="__p", regParam=1e-3).fit(fit_rows)

@@ -34,12 +34,23 @@ def _vol(d, w):
     return d.withColumn("rv8", R.std(C("r"), 8, 4, w))
 
 
-def _variance_ratio(d, w):
-    d = d.withColumn("r", R.log_return(C("close"), 1, w)).withColumn("r8", R.log_return(C("close"), 8, w))
-    n1, _, v1 = R.wide_moments(C("r"), 240, w)
-    n8, _, v8 = R.wide_moments(C("r8"), 240, w)
-    d = d.withColumns({"n1": n1, "v1": v1, "n8": n8, "v8": v8})
-    return d.withColumn("y", F.when((C("n1") >= 120) & (C("n8") >= 120), ratio(C("v8"), 8 * C("v1"))))
+def _variance_ratio(k: int):
+    """Variance of k-step returns over k times that of single steps."""
+
+    def compute(d, w):
+        d = d.withColumn("r", R.log_return(C("close"), 1, w)).withColumn("rk", R.log_return(C("close"), k, w))
+        n1, _, v1 = R.moments(C("r"), 240, w)
+        nk, _, vk = R.moments(C("rk"), 240, w)
+        d = d.withColumns({"n1": n1, "v1": v1, "nk": nk, "vk": vk})
+        return d.withColumn("y", F.when((C("n1") >= 120) & (C("nk") >= 120), ratio(C("vk"), k * C("v1"))))
+
+    return compute
+
+
+def _variance_ratio_sql(k: int) -> str:
+    return f"""WITH v AS (SELECT symbol, bar_close, r, ln(close) - ln(lag(close, {k}) OVER {_O}) AS rk FROM base2)
+        SELECT symbol, bar_close, CASE WHEN count(r) OVER {_w(240)} >= 120 AND count(rk) OVER {_w(240)} >= 120
+               THEN round(var_samp(rk) OVER {_w(240)} / nullif({k} * var_samp(r) OVER {_w(240)}, 0), 6) END AS value FROM v"""
 
 
 def _efficiency(d, w):
@@ -56,7 +67,8 @@ FEATURES = {
         lambda d, w: d.withColumn("y", ratio(C("close"), F.max("close").over(trailing(w, 720))) - 1),
     ),
     "vol_of_vol_60d": (None, 70, lambda d, w: _vol(d, w).withColumn("y", R.std(C("rv8"), 60, 30, w))),
-    "variance_ratio_8": (None, 248, _variance_ratio),
+    "variance_ratio_8": (None, 248, _variance_ratio(8)),
+    "variance_ratio_48": (None, 288, _variance_ratio(48)),
     "momentum_accel_4_1": (
         f"(ln(close) - ln(lag(close, 4) OVER {_O})) - (ln(close) - ln(lag(close, 1) OVER {_O}))",
         4,
@@ -72,7 +84,7 @@ FEATURES = {
     "bull_bear_regime": (
         f"CASE WHEN count(*) OVER {_w(200)} >= 200 THEN sign(avg(close) OVER {_w(20)} - avg(close) OVER {_w(200)})::DOUBLE END",
         199,
-        lambda d, w: d.withColumns({"m200": R.wide_moments(C("close"), 200, w)[1], "n200": R.wide_moments(C("close"), 200, w)[0]}).withColumn(
+        lambda d, w: d.withColumns({"m200": R.moments(C("close"), 200, w)[1], "n200": R.moments(C("close"), 200, w)[0]}).withColumn(
             "y", F.when(C("n200") >= 200, F.signum(R.mean(C("close"), 20, 20, w) - C("m200")))
         ),
     ),
@@ -80,9 +92,8 @@ FEATURES = {
 SQL = {
     "vol_of_vol_60d": f"""WITH v AS (SELECT symbol, bar_close, CASE WHEN count(r) OVER {_w(8)} >= 4 THEN stddev_samp(r) OVER {_w(8)} END AS rv8 FROM base2)
         SELECT symbol, bar_close, CASE WHEN count(rv8) OVER {_w(60)} >= 30 THEN round(stddev_samp(rv8) OVER {_w(60)}, 6) END AS value FROM v""",
-    "variance_ratio_8": f"""WITH v AS (SELECT symbol, bar_close, r, ln(close) - ln(lag(close, 8) OVER {_O}) AS r8 FROM base2)
-        SELECT symbol, bar_close, CASE WHEN count(r) OVER {_w(240)} >= 120 AND count(r8) OVER {_w(240)} >= 120
-               THEN round(var_samp(r8) OVER {_w(240)} / nullif(8 * var_samp(r) OVER {_w(240)}, 0), 6) END AS value FROM v""",
+    "variance_ratio_8": _variance_ratio_sql(8),
+    "variance_ratio_48": _variance_ratio_sql(48),
     "trend_efficiency_48": f"""WITH v AS (SELECT symbol, bar_close, abs(close - lag(close) OVER {_O}) AS step, abs(close - lag(close, 48) OVER {_O}) AS mv FROM base2)
         SELECT symbol, bar_close, CASE WHEN mv IS NOT NULL AND count(step) OVER {_w(48)} >= 48 THEN round(mv / nullif(sum(step) OVER {_w(48)}, 0), 6) END AS value FROM v""",
 }

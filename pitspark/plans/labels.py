@@ -12,7 +12,7 @@ from pitspark.operators import labels as L
 from pitspark.operators import regimes as G
 from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join, event_within, nearest_events
-from pitspark.operators.chunked import SeriesKey, ewm, ewm_block, ewm_lookback, over_rows, over_time, POS
+from pitspark.operators.chunked import Ewm, SeriesKey, ewm_block, ewm_lookback, over_rows, over_time, POS, with_ewm
 from pitspark.operators.ranks import exact_quantiles
 from pitspark.operators.versions import latest_by
 from pitspark.plans.aggregates import labelled, rv60
@@ -139,10 +139,11 @@ def barrier_labels(bars, key: SeriesKey):
 
     def compute(d, w):
         d = d.withColumn("__tr", R.true_range(C("high"), C("low"), F.lag("close").over(w)))
-        atr = F.when(C(POS) >= 14, ewm(C("__tr"), a, w))
+        d = with_ewm(d, w, {"__atr": Ewm(C("__tr"), a)})
+        atr = F.when(C(POS) >= 14, C("__atr"))
         d = d.withColumn("barrier", L.atr_barrier(atr, C("close")))
         nxt = safe_ln(F.lead("close").over(w)) - safe_ln(C("close"))
-        return d.withColumn("next_return", nxt).drop("__tr")
+        return d.withColumn("next_return", nxt).drop("__tr", "__atr")
 
     reach = ewm_lookback(a) + 1
     out = over_rows(bars, key, compute, lookback=reach, lookahead=1, block_rows=ewm_block(a, reach))
@@ -354,7 +355,8 @@ def fold_sidecar(t: Tables):
         d = d.withColumn("__r", R.log_return(C("close"), 1, w))
         d = d.withColumn("rv", R.std(C("__r"), 60, 60, w))
         d = d.withColumn("__tr", R.true_range(C("high"), C("low"), F.lag("close").over(w)))
-        atr = F.when(C(POS) >= 14, ewm(C("__tr"), a, w))
+        d = with_ewm(d, w, {"__atr": Ewm(C("__tr"), a)})
+        atr = F.when(C(POS) >= 14, C("__atr"))
         d = d.withColumn("barrier", L.atr_barrier(atr, C("close")))
         nxt = safe_ln(F.lead("close").over(w)) - safe_ln(C("close"))
         return d.withColumn("next_return", nxt)

@@ -11,14 +11,15 @@ from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join
 from pitspark.operators.chunked import (
     POS,
+    Ewm,
     Running,
     SeriesKey,
-    ewm,
     ewm_block,
     ewm_lookback,
     over_rows,
     over_time,
     running,
+    with_ewm,
     trailing,
 )
 from pitspark.operators.versions import latest_by
@@ -161,7 +162,7 @@ def realized_vol(t: Tables):
             d,
             realized_vol_8=R.std(C("r1"), 8, 4, w),
             realized_vol_48=R.std(C("r1"), 48, 24, w),
-            realized_vol_240=R.wide_std(C("r1"), 240, 120, w),
+            realized_vol_240=R.std(C("r1"), 240, 120, w),
         )
 
     out = over_rows(bars_of(t, "close"), BAR, compute, lookback=242)
@@ -226,7 +227,7 @@ def pit_zscore(t: Tables):
 
     def compute(d, w):
         # The frame before a row is the trailing frame of the previous row.
-        n, avg, var = R.wide_moments(C("close"), 1000, w)
+        n, avg, var = R.moments(C("close"), 1000, w)
         d = with_cols(d, n_=n, m_=avg, s_=F.sqrt(var))
         prev = {c: F.lag(c).over(w) for c in ("n_", "m_", "s_")}
         z = (C("close") - prev["m_"]) / (prev["s_"] + F.lit(1e-8))
@@ -352,7 +353,8 @@ def ewm_wilder(t: Tables):
     a = 1 / 14
 
     def compute(d, w):
-        return d.withColumn("ewm", F.when(C(POS) >= 14, ewm(C("close"), a, w)))
+        d = with_ewm(d, w, {"ewm": Ewm(C("close"), a)})
+        return d.withColumn("ewm", F.when(C(POS) >= 14, C("ewm")))
 
     return finish(over_rows(bars_of(t, "close"), BAR, compute, **ewm_args(a)), "ewm")
 
@@ -368,7 +370,7 @@ def ema(t: Tables):
     fast, slow = 2 / 51, 2 / 201
 
     def compute(d, w):
-        return with_cols(d, ema_50=ewm(C("close"), fast, w), ema_200=ewm(C("close"), slow, w))
+        return with_ewm(d, w, {"ema_50": Ewm(C("close"), fast), "ema_200": Ewm(C("close"), slow)})
 
     lookback = ewm_lookback(slow)
     block = min(ewm_block(a, lookback) for a in (fast, slow))
@@ -387,7 +389,8 @@ view(
 def with_atr(d, w, out="atr"):
     tr = R.true_range(C("high"), C("low"), F.lag("close").over(w))
     d = d.withColumn("__tr", tr)
-    return d.withColumn(out, F.when(C(POS) >= 14, ewm(C("__tr"), 1 / 14, w))).drop("__tr")
+    d = with_ewm(d, w, {out: Ewm(C("__tr"), 1 / 14)})
+    return d.withColumn(out, F.when(C(POS) >= 14, C(out))).drop("__tr")
 
 
 @query("atr_14", "SELECT symbol, bar_close, round(atr, 6) AS atr_14 FROM atrs", "atrs")
@@ -432,7 +435,7 @@ def rsi_14(t: Tables):
         d = d.withColumn("d1", R.diff(C("c1"), 1, w))
         zero = F.lit(0.0)
         up, down = F.greatest(C("d1"), zero), F.greatest(-C("d1"), zero)
-        d = with_cols(d, g=ewm(up, a, w, 3), l=ewm(down, a, w, 3))
+        d = with_ewm(d, w, {"g": Ewm(up, a, 3), "l": Ewm(down, a, 3)})
         return d.withColumn("rsi_14", F.when(C(POS) >= 16, 100 * ratio(C("g"), C("g") + C("l"))))
 
     return finish(over_rows(bars_of(t, "close"), BAR, compute, **ewm_args(a, extra=2)), "rsi_14")
@@ -452,8 +455,9 @@ def macd_signal(t: Tables):
 
     def compute(d, w):
         d = d.withColumn("c1", F.lag("close").over(w))
-        d = with_cols(d, macd=ewm(C("c1"), 2 / 13, w, 2) - ewm(C("c1"), 2 / 27, w, 2))
-        return d.withColumn("macd_signal", ewm(C("macd"), 2 / 10, w, 2))
+        d = with_ewm(d, w, {"fast": Ewm(C("c1"), 2 / 13, 2), "slow": Ewm(C("c1"), 2 / 27, 2)})
+        d = d.withColumn("macd", C("fast") - C("slow"))
+        return with_ewm(d, w, {"macd_signal": Ewm(C("macd"), 2 / 10, 2)})
 
     reach = ewm_lookback(2 / 27) + ewm_lookback(2 / 10) + 1
     block = min(ewm_block(a, reach) for a in (2 / 13, 2 / 27, 2 / 10))
