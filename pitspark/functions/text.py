@@ -56,10 +56,12 @@ def feature_category(name: Column) -> Column:
     return out
 
 
-def article_text(title: Column, body: Column, body_chars: int = 1500) -> Column:
-    """Title, blank line, start of the body; NULL when both are empty."""
+def article_text(title: Column, body: Column, body_chars: int | None = None) -> Column:
+    """Title, blank line, body (its first ``body_chars`` characters, if given);
+    NULL when both are empty."""
     head = F.nullif(F.trim(title), F.lit(""))
-    rest = F.nullif(F.substring(F.trim(F.coalesce(body, F.lit(""))), 1, body_chars), F.lit(""))
+    whole = F.trim(F.coalesce(body, F.lit("")))
+    rest = F.nullif(whole if body_chars is None else F.substring(whole, 1, body_chars), F.lit(""))
     return F.nullif(F.concat_ws("\n\n", head, rest), F.lit(""))
 
 
@@ -93,10 +95,11 @@ def html_title(html: Column) -> Column:
     return F.coalesce(F.nullif(h1, F.lit("")), og)
 
 
-def html_body(html: Column, paragraphs: int = 30) -> Column:
-    """Text of the article element, else of the first paragraphs."""
+def html_body(html: Column, paragraphs: int | None = None) -> Column:
+    """Text of the article element, else of the (first ``paragraphs``) paragraphs."""
     article = strip_tags(_first(html, r"(?is)<article[^>]*>(.*?)</article>"))
-    paras = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), 1, paragraphs)
+    paras = F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
+    paras = paras if paragraphs is None else F.slice(paras, 1, paragraphs)
     return F.coalesce(F.nullif(article, F.lit("")), F.nullif(strip_tags(F.array_join(paras, " ")), F.lit("")))
 
 

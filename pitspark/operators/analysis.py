@@ -23,6 +23,12 @@ def log_loss(scored: DataFrame, by: Sequence[str], *, label: str, probability: s
     return scored.groupBy(*by).agg(F.avg(loss).alias("loss"), F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
+def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Every row with its features as numbers; a missing one counts as 0, which
+    is also the value of an ablated one."""
+    return df.withColumns({f: F.coalesce(C(f).cast("double"), F.lit(0.0)) for f in features})
+
+
 def permutation_importance(
     df: DataFrame, model: PipelineModel, *, features: Sequence[str], label: str, row_id: str, repeats: int = 3, seed: int = 42
 ) -> DataFrame:
@@ -32,7 +38,7 @@ def permutation_importance(
     pairs = F.array(
         *[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)]
     )
-    base = df.dropna(subset=list(features))
+    base = _filled(df, features)
     long = base.select("*", F.explode(pairs).alias("__p")).select("*", "__p.*").drop("__p")
     cells = F.create_map(*[x for f in features for x in (F.lit(f), C(f).cast("double"))])
     draws = long.select(
@@ -71,7 +77,7 @@ def group_ablation(
     The rows are exploded over the ablations and scored once."""
     names = ["none", *groups]
     features = sorted({f for fs in groups.values() for f in fs})
-    long = df.dropna(subset=features).withColumn("ablation", F.explode(F.array(*[F.lit(n) for n in names])))
+    long = _filled(df, features).withColumn("ablation", F.explode(F.array(*[F.lit(n) for n in names])))
     zeroed = {}
     for f in features:
         hit = C("ablation").isin([n for n, fs in groups.items() if f in fs])

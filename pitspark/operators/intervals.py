@@ -11,6 +11,9 @@ from pitspark.functions.timefn import floor_time, shift_seconds
 from pitspark.operators.asof import DAY, asof_join, event_within, nearest_events
 from pitspark.operators.chunked import SeriesKey, over_rows, row_positions
 
+# Tells identical rows of a grid apart.
+ROW = "__row"
+
 
 def lag_time(df: DataFrame, key: SeriesKey, column: str, out: str) -> DataFrame:
     """Previous row's value of a column inside each series."""
@@ -90,19 +93,20 @@ def lookback_slots(
     args = dict(
         right_time=event_time, strict=True, columns=["__n"], tie=["__n"], bucket_seconds=chunk_seconds
     )
+    points = grid.withColumn(ROW, F.monotonically_increasing_id())
     lo = asof_join(
-        grid.withColumn("__from", shift_seconds(F.col(at), -seconds)), numbered, left_time="__from", prefix="__lo", **args
+        points.withColumn("__from", shift_seconds(F.col(at), -seconds)), numbered, left_time="__from", prefix="__lo", **args
     )
     both = asof_join(lo, numbered, left_time=at, prefix="__hi", **args)
     start = F.coalesce(F.col("__lo__n"), F.lit(0)) + 1
     stop = F.least(start + slots - 1, F.coalesce(F.col("__hi__n"), F.lit(0)))
     wanted = F.when(stop >= start, F.sequence(start, stop))
-    ranges = both.select(*grid.columns, F.explode_outer(wanted).alias("__n"))
+    ranges = both.select(ROW, *grid.columns, F.explode_outer(wanted).alias("__n"))
     picked = ranges.join(numbered.select("__n", event_id), "__n", "left")
     collected = F.sort_array(F.collect_list(F.when(F.col(event_id).isNotNull(), F.struct("__n", event_id))))
     return (
-        picked.groupBy(*grid.columns)
-        .agg(collected.alias("__s"))
+        picked.groupBy(ROW)
+        .agg(*[F.first(c).alias(c) for c in grid.columns], collected.alias("__s"))
         .select(*grid.columns, F.transform("__s", lambda s: s[event_id]).alias("slots"))
     )
 
@@ -125,14 +129,15 @@ def flags_within(
     tagged = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in flags.items()]))
     long = events.select(F.explode(tagged).alias("__flag"), event_time)
     names = F.array(*[F.lit(n) for n in flags])
-    points = grid.select(*grid.columns, F.explode(names).alias("__flag"))
+    points = grid.withColumn(ROW, F.monotonically_increasing_id()).select(ROW, *grid.columns, F.explode(names).alias("__flag"))
     near = nearest_events(
         points, long, left_time=at, event_time=event_time, by=["__flag"], bucket_seconds=bucket_seconds
     )
     hit = event_within(F.col("prev_event"), F.col("next_event"), F.col(at), seconds)
-    return near.groupBy(*grid.columns).agg(
-        *[F.coalesce(F.bool_or(F.when(F.col("__flag") == n, hit)), F.lit(False)).alias(n) for n in flags]
-    )
+    return near.groupBy(ROW).agg(
+        *[F.first(c).alias(c) for c in grid.columns],
+        *[F.coalesce(F.bool_or(F.when(F.col("__flag") == n, hit)), F.lit(False)).alias(n) for n in flags],
+    ).drop(ROW)
 
 
 def legs_on_date(

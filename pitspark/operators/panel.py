@@ -39,7 +39,8 @@ def asof_panel(
     forward on its own visibility.
     """
     wanted = F.array(*[F.lit(n) for n in names])
-    grid = days.select(day, F.explode(wanted).alias(series))
+    # numbered before it is exploded: the id tells identical days apart
+    grid = days.withColumn("__row", F.monotonically_increasing_id()).select("__row", day, F.explode(wanted).alias(series))
     src = long.filter(F.col(value).isNotNull() & F.col(series).isin(list(names)))
     joined = asof_join(
         grid,
@@ -54,4 +55,4 @@ def asof_panel(
         bucket_seconds=bucket_seconds,
     )
     cells = [F.max(F.when(F.col(series) == k, F.col(value))).alias(c) for k, c in names.items()]
-    return joined.groupBy(day).agg(F.max("__seen").alias(visible), *cells)
+    return joined.groupBy("__row").agg(F.first(day).alias(day), F.max("__seen").alias(visible), *cells).drop("__row")

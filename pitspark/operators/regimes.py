@@ -52,7 +52,8 @@ def volatility_posterior(
     """Probability of the high-volatility state from a two-component Gaussian
     mixture on (|return|, realised vol), fitted on each fold's training rows.
 
-    Rows with a missing feature, and folds with too few rows, get 0.5. The
+    Rows with a missing feature, rows of no fitted fold, and folds with fewer
+    than ``min_rows`` training rows get 0.5. The
     mixture sees no order in time, so the posterior of a row never depends on
     later rows.
     """
@@ -63,7 +64,8 @@ def volatility_posterior(
     vec = VectorAssembler(inputCols=["__a", rv], outputCol="__x", handleInvalid="skip")
     src = df.withColumn("__a", F.abs(F.col(ret)))
     has = F.col("__a").isNotNull() & F.col(rv).isNotNull()
-    parts = [src.filter(~has).withColumn(out, F.lit(0.5)).drop("__a")]
+    fitted = F.coalesce(F.col(fold).isin(list(folds)), F.lit(False))
+    parts = [src.filter(~(has & fitted)).withColumn(out, F.lit(0.5)).drop("__a")]
     for k in folds:
         rows = vec.transform(src.filter(has & (F.col(fold) == k)))
         fit_rows = rows.filter(train)

@@ -82,7 +82,7 @@ def safe_log(t: Tables):
 def article_text(t: Tables):
     """Title, blank line and body start."""
     body = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return t.read("pages").select("page_id", X.article_text(C("url"), body).alias("text"))
+    return t.read("pages").select("page_id", X.article_text(C("url"), body, body_chars=1500).alias("text"))
 
 
 @query(

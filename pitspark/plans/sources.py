@@ -206,7 +206,7 @@ def html_articles(t: Tables):
     """Title, body and publication time of raw pages."""
     html = C("html")
     out = t.read("pages").select(
-        "page_id", "url", X.html_title(html).alias("title"), X.html_body(html).alias("body"), X.html_published(html).alias("published")
+        "page_id", "url", X.html_title(html).alias("title"), X.html_body(html, paragraphs=30).alias("body"), X.html_published(html).alias("published")
     )
     return out.filter(C("title").isNotNull()).select(
         "page_id", "url", "title", F.length("body").cast("long").alias("body_chars"), F.md5("body").alias("body_md5"), "published"

@@ -3,134 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
-
-_TYPES = {
-    "string": T.StringType(),
-    "double": T.DoubleType(),
-    "long": T.LongType(),
-    "bool": T.BooleanType(),
-    "ts": T.TimestampNTZType(),
-}
 
-
-@dataclass(frozen=True)
-class ColumnSpec:
-    name: str
-    dtype: str
-    nullable: bool = True
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "ts": T.TimestampNTZType()}
 
 
 @dataclass(frozen=True)
 class Contract:
-    """A named table contract; ``columns`` are written as 'name type' with a
-    trailing '?' for nullable ones."""
+    """What a stored table must look like: its schema (a field that is not
+    nullable must be filled) and the columns that no two rows share."""
 
     name: str
-    columns: tuple[ColumnSpec, ...]
-    primary_key: tuple[str, ...] = field(default=())
+    schema: T.StructType
+    key: tuple[str, ...] = ()
 
     @staticmethod
     def of(name: str, spec: str, key: Sequence[str]) -> Contract:
-        cols = []
-        for part in spec.split(","):
-            col, dtype = part.split()
-            cols.append(ColumnSpec(col, dtype.rstrip("?"), dtype.endswith("?")))
-        return Contract(name, tuple(cols), tuple(key))
-
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, _TYPES[c.dtype], c.nullable) for c in self.columns])
+        """From 'column type' pairs; a '?' behind the type allows nulls."""
+        pairs = [p.split() for p in spec.split(",")]
+        fields = [T.StructField(c, _TYPES[t.rstrip("?")], t.endswith("?")) for c, t in pairs]
+        return Contract(name, T.StructType(fields), tuple(key))
 
     def empty(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([], self.schema())
+        return spark.createDataFrame([], self.schema)
 
 
-_CLOCK = "release_ts ts, t_visible ts"
+# The two names of the clock columns. A row is published at the
+# first and may be used from the second on.
+RELEASED, VISIBLE = "release_ts", "t_visible"
+_CLOCK = f"{RELEASED} ts, {VISIBLE} ts"
 
+#: Contracts of the tables that this library itself builds.
 CONTRACTS: dict[str, Contract] = {
     c.name: c
     for c in (
-        Contract.of(
-            "bars",
-            "symbol string, timestamp ts, open double, high double, low double, close double, volume double, "
-            f"trade_count double?, vwap double?, {_CLOCK}",
-            ["symbol", "timestamp"],
-        ),
-        Contract.of(
-            "news",
-            "article_id string, source string, created_at ts, title string, body string?, url string?, symbols string?, "
-            f"bias_tier string, {_CLOCK}",
-            ["source", "article_id"],
-        ),
-        Contract.of(
-            "vintages",
-            f"series_id string, date ts, value double?, realtime_start ts, realtime_end ts?, {_CLOCK}",
-            ["series_id", "date", "realtime_start"],
-        ),
-        Contract.of(
-            "event_log",
-            "pub_ts_utc ts, partition_ts_utc ts, url string, v2_themes string?, v2_tone string?, v2_locations string?, "
-            f"{_CLOCK}",
-            ["url", "pub_ts_utc"],
-        ),
-        Contract.of(
-            "daily_settle",
-            "ticker string, date ts, open double, high double, low double, close double, volume double?, "
-            f"settlement_ts_utc ts, {_CLOCK}",
-            ["ticker", "date"],
-        ),
-        Contract.of(
-            "snapshot_index",
-            f"series string, date ts, value double?, fetch_ts ts, source_sha string, {_CLOCK}",
-            ["series", "date", "fetch_ts"],
-        ),
-        Contract.of(
-            "positioning",
-            "contract_code string, contract_name string, report_date ts, oi_open_interest double?, mm_long double?, "
-            "mm_short double?, mm_spread double?, comm_long double?, comm_short double?, nonrept_long double?, "
-            f"nonrept_short double?, irregular_release bool, {_CLOCK}",
-            ["contract_code", "report_date"],
-        ),
-        Contract.of(
-            "stocks_flows",
-            "country string, period ts, frequency string, holdings_tonnes double?, net_purchases_tonnes double?, "
-            f"pct_total_reserves double?, fetch_ts ts, source_sha string, {_CLOCK}",
-            ["country", "period", "fetch_ts"],
-        ),
-        Contract.of(
-            "calendar_events",
-            f"event_type string, event_ts_utc ts, tier long, {_CLOCK}",
-            ["event_type", "event_ts_utc"],
-        ),
+        Contract.of("bars", f"symbol string, bar_open ts, bar_close ts, open double, high double, low double, close double, volume long, {_CLOCK}", ["symbol", "bar_open"]),
+        Contract.of("vintages", f"series_id string, date ts, realtime_start ts, value double?, {_CLOCK}", ["series_id", "date", "realtime_start"]),
+        Contract.of("articles", f"article_id long, source string, created_at ts, body string?, {_CLOCK}", ["article_id"]),
     )
 }
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def read_or_empty(spark: SparkSession, contract: Contract, *paths: str) -> DataFrame:
-    """Parquet scan with the declared schema; absent files give an empty table."""
-    try:
-        return spark.read.schema(contract.schema()).parquet(*paths)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return contract.empty(spark)
+    """Parquet scan of the paths that exist, with the declared schema; an empty
+    table if none does."""
+    there = [p for p in paths if _exists(spark, p)]
+    return spark.read.schema(contract.schema).parquet(*there) if there else contract.empty(spark)
 
 
 def shape_violations(df: DataFrame, contract: Contract, *, allow_extra: bool = True) -> list[str]:
     """Missing, extra and mistyped columns; no job is run."""
     have = {f.name: f.dataType for f in df.schema}
-    out = [f"missing column {c.name}" for c in contract.columns if c.name not in have]
-    for c in contract.columns:
-        if c.name in have and have[c.name] != _TYPES[c.dtype]:
-            out.append(f"column {c.name} is {have[c.name].simpleString()}, expected {_TYPES[c.dtype].simpleString()}")
+    want = {f.name: f.dataType for f in contract.schema}
+    out = [f"missing column {c}" for c in want if c not in have]
+    out += [f"column {c} is {have[c].simpleString()}, expected {t.simpleString()}" for c, t in want.items() if c in have and have[c] != t]
     if not allow_extra:
-        known = {c.name for c in contract.columns}
-        out += [f"extra column {n}" for n in have if n not in known]
+        out += [f"extra column {n}" for n in have if n not in want]
     return out
 
 
@@ -138,19 +76,27 @@ def value_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """(rule, n) for nulls in required columns and for release after
     visibility, from one aggregate pass; only broken rules are returned."""
     rules = {
-        f"null {c.name}": F.col(c.name).isNull() for c in contract.columns if not c.nullable and c.name in df.columns
+        f"null {f.name}": F.col(f.name).isNull() for f in contract.schema if not f.nullable and f.name in df.columns
     }
-    if {"release_ts", "t_visible"} <= set(df.columns):
-        rules["release_ts > t_visible"] = F.col("release_ts") > F.col("t_visible")
+    if {RELEASED, VISIBLE} <= set(df.columns):
+        rules[f"{RELEASED} > {VISIBLE}"] = F.col(RELEASED) > F.col(VISIBLE)
     counts = df.agg(*[F.count_if(cond).alias(name) for name, cond in rules.items()])
     return counts.unpivot([], [f"`{r}`" for r in rules], "rule", "n").filter("n > 0")
 
 
+def key_violations(df: DataFrame, contract: Contract) -> DataFrame:
+    """(rule, n): how many keys of the contract occur more than once; no row if none."""
+    twice = df.groupBy(*contract.key).agg(F.count("*").alias("__n")).filter("__n > 1")
+    return twice.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(f"repeated key {', '.join(contract.key)}").alias("rule"), "n")
+
+
 def validate(df: DataFrame, contract: Contract, *, allow_extra: bool = True) -> DataFrame:
     """Return the table unchanged or raise with everything that is wrong."""
     problems = shape_violations(df, contract, allow_extra=allow_extra)
     if not problems:
         problems = [f"{r['rule']}: {r['n']} rows" for r in value_violations(df, contract).collect()]
+        if contract.key:
+            problems += [f"{r['rule']}: {r['n']} keys" for r in key_violations(df, contract).collect()]
     if problems:
         raise ValueError(f"{contract.name}: " + "; ".join(problems))
     return df

@@ -241,9 +241,11 @@ def test_calibration_pieces(spark):
 
 def test_contracts(spark, tmp_path):
     c = contracts.CONTRACTS["vintages"]
-    assert len(contracts.CONTRACTS) == 9 and c.primary_key == ("series_id", "date", "realtime_start")
-    rows = [("a", D(2024, 1, 1), 1.0, D(2024, 1, 2), None, D(2024, 1, 2), D(2024, 1, 3))]
-    good = spark.createDataFrame(rows, c.schema())
+    assert c.key == ("series_id", "date", "realtime_start")
+    rows = [("a", D(2024, 1, 1), D(2024, 1, 2), 1.0, D(2024, 1, 2), D(2024, 1, 3))]
+    good = spark.createDataFrame(rows, c.schema)
+    with pytest.raises(ValueError, match="repeated key series_id, date, realtime_start: 1 keys"):
+        contracts.validate(good.unionByName(good), c)
     assert contracts.validate(good, c).count() == 1
     late = good.withColumn("t_visible", F.lit(D(2024, 1, 1)).cast("timestamp_ntz"))
     with pytest.raises(ValueError, match="release_ts > t_visible: 1 rows"):
@@ -257,7 +259,7 @@ def test_contracts(spark, tmp_path):
     assert contracts.shape_violations(good.withColumn("x", F.lit(1)), c, allow_extra=False) == ["extra column x"]
     assert contracts.read_or_empty(spark, c, str(tmp_path / "nothing")).count() == 0
     contracts.write_validated(good, c, str(tmp_path / "v"), partition_by=["series_id"])
-    assert contracts.read_or_empty(spark, c, str(tmp_path / "v")).count() == 1
+    assert contracts.read_or_empty(spark, c, str(tmp_path / "v"), str(tmp_path / "nothing")).count() == 1
 
 
 def test_build_driver(spark, tmp_path):
