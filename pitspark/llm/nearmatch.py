@@ -33,6 +33,8 @@ from pitspark.llm.components import components
 SHINGLE = 5
 TREES, DEPTH, DEEPEST = 20, 5, 10
 VALUES = TREES * DEPTH
+CHAINED = 3  # trees whose neighbours are linked first
+FILTER_BITS = 24  # of the filter that thins a scan before it is joined; 2 MB whatever the input
 LINK = (85, 100)
 _STEP = np.array([pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 
@@ -160,6 +162,29 @@ def forest(nodes: DataFrame) -> DataFrame:
     return stored(rows.join(stored(shared), ["tree", "prefix"]))
 
 
+def _filter_words(members: DataFrame) -> np.ndarray:
+    """A bit for the hash of each member: at most 2**FILTER_BITS / 64 rows come to the driver."""
+    bit = F.shiftrightunsigned(F.xxhash64("rid"), 64 - FILTER_BITS)
+    got = members.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("v")).toPandas()
+    words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    words[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64)
+    return words
+
+
+def _thinned(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The members' rows and few others: a fixed-size filter spares most texts the shuffle of the join."""
+    words = _filter_words(members)
+    schema = T.StructType([T.StructField("bit", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("text", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            yield batch.filter(pa.array(((words[bit >> 6] >> (bit & 63)) & 1).astype(bool)))
+
+    bit = F.shiftrightunsigned(F.xxhash64("rid"), 64 - FILTER_BITS).alias("bit")
+    return docs.select(bit, "rid", "text").mapInArrow(run, schema).drop("bit")
+
+
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(rid, n, hashes) of the documents that are in a region."""
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType())])
@@ -169,7 +194,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "n", "hashes"])
 
-    return stored(docs.join(members, "rid", "left_semi").select("rid", "text").mapInArrow(run, schema))
+    return stored(_thinned(docs, members).join(members, "rid", "left_semi").select("rid", "text").mapInArrow(run, schema))
 
 
 def _is_link(both, either):
@@ -198,7 +223,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(group: pa.Table) -> pa.Table:
-    """Links between the asking and the asked nodes of one block that are in different components."""
+    """Components that links between the asking and the asked nodes of one block join."""
     ask, asked = group.filter(group["asks"]), group.filter(pa.compute.invert(group["asks"]))
     own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in asked["hashes"]]
     size = np.array([len(s) for s in own], dtype=np.int64)
@@ -207,25 +232,29 @@ def _block_links(group: pa.Table) -> pa.Table:
         flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        rid, comp = asked["rid"].to_numpy(), asked["component"].to_numpy()
-        for x, r, c in zip(ask["hashes"], ask["rid"].to_pylist(), ask["component"].to_pylist(), strict=True):
+        comp = asked["component"].to_numpy()
+        for x, c in zip(ask["hashes"], ask["component"].to_pylist(), strict=True):
             q = np.frombuffer(x.as_buffer(), dtype=np.uint64)
             low, high = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
             reach = high - low
             at = np.repeat(low - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())
             both = np.bincount(owner[at], minlength=len(own))
             hit = np.flatnonzero(_is_link(both, size + len(q) - both) & (comp != c))
-            a += [r] * len(hit)
-            b += rid[hit].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found = np.unique(comp[hit])
+            a += [c] * len(found)
+            b += found.tolist()
+    return pa.table({"from": pa.array(a, pa.int64()), "to": pa.array(b, pa.int64())})
 
 
 def _across(regions: DataFrame, comp: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """All links between nodes that share a region but no component yet."""
+    """(from, to): components joined by links between nodes that share a region but no component yet."""
     member = regions.select("tree", "prefix", "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     member = stored(member.join(sets.select("rid", "n"), "rid"))
-    per = member.groupBy("tree", "prefix", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    mixed = per.groupBy("tree", "prefix").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("n").alias("n"), F.max_by("n", F.struct("k", "component")).alias("n_main")).filter(F.col("parts") > 1)
+    who = F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("who")
+    per = member.groupBy("tree", "prefix", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"), who)
+    mixed = per.groupBy("tree", "prefix").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum("who").alias("who"), F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("n").alias("n"), F.max_by("n", F.struct("k", "component")).alias("n_main")).filter(F.col("parts") > 1)
+    # of regions with the same members, one is enough
+    mixed = mixed.groupBy("size", "who").agg(F.min(F.struct("tree", "prefix", "main", "n", "n_main")).alias("one")).select("one.*")
     blocks = lambda n: F.ceil(n / block).cast("int")
     mixed = stored(mixed.select("tree", "prefix", "main", blocks(F.col("n")).alias("asked_blocks"), blocks(F.col("n") - F.col("n_main")).alias("ask_blocks")))
     inside = member.join(mixed, ["tree", "prefix"])
@@ -234,7 +263,7 @@ def _across(regions: DataFrame, comp: DataFrame, sets: DataFrame, block: int) ->
     asked = inside.select("tree", "prefix", "rid", "component", F.lit(False).alias("asks"), place(F.col("asked_blocks"), 1).alias("i"), every(F.col("ask_blocks")).alias("j"))
     asks = inside.filter(F.col("component") != F.col("main")).select("tree", "prefix", "rid", "component", F.lit(True).alias("asks"), place(F.col("ask_blocks"), 2).alias("j"), every(F.col("asked_blocks")).alias("i"))
     rows = asked.unionByName(asks).join(sets.select("rid", "hashes"), "rid")
-    return rows.groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links, "a long, b long")
+    return rows.groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links, "from long, to long")
 
 
 def near_groups(docs: DataFrame, block: int = 200_000) -> DataFrame:
@@ -249,20 +278,15 @@ def near_groups(docs: DataFrame, block: int = 200_000) -> DataFrame:
     local = stored(full.groupBy("node", "digest").agg(first))  # copies meet here first: at most one row for each partition goes on
     heads = stored(local.groupBy("digest").agg(F.min("first").alias("head")).select("digest", "head.rid", "head.doc_id"))
     regions = forest(full.join(heads.select("rid"), "rid", "left_semi"))
-    sets = _sets(texts, regions.select("rid").distinct())
-    links = None
-    comp = docs.sparkSession.createDataFrame([], "node long, component long")
-    for trees in (range(0, 4), range(4, TREES)):
-        near = regions.filter(F.col("tree").between(trees[0], trees[-1]) & F.col("next").isNotNull())
-        pairs = near.select(F.least("rid", "next").alias("a"), F.greatest("rid", "next").alias("b")).distinct()
-        if links is not None:
-            at = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: E731, B023
-            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        found = stored(_confirm(stored(pairs), sets))
-        links = found if links is None else links.unionByName(found)
-        comp = stored(components(links))
-    links = links.unionByName(stored(_across(regions, comp, sets, block).distinct()))
-    comp = stored(components(links))
+    sets = _sets(texts, stored(regions.select("rid").distinct()))
+    near = regions.filter((F.col("tree") < CHAINED) & F.col("next").isNotNull())
+    pairs = near.select(F.least("rid", "next").alias("a"), F.greatest("rid", "next").alias("b")).distinct()
+    comp = stored(components(_confirm(stored(pairs), sets)))
+    # links across components join whole components, so only these are linked from here on
+    more = stored(_across(regions, comp, sets, block).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
+    whole = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("component"))
+    comp = stored(comp.unionByName(alone).join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
     named = heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = stored(named)
     smallest = stored(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("s")))
