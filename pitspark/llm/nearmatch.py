@@ -223,11 +223,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(group: pa.Table) -> pa.Table:
-    """Components that links between the asking and the asked nodes of one block join."""
+    """Components that links between the asking and the asked nodes of one block join: a spanning forest of them, so
+    fewer rows than the block has components."""
     ask, asked = group.filter(group["asks"]), group.filter(pa.compute.invert(group["asks"]))
     own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in asked["hashes"]]
     size = np.array([len(s) for s in own], dtype=np.int64)
     a, b = [], []
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
     if ask.num_rows and asked.num_rows:
         flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), size)
         order = np.argsort(flat, kind="stable")
@@ -240,9 +248,12 @@ def _block_links(group: pa.Table) -> pa.Table:
             at = np.repeat(low - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())
             both = np.bincount(owner[at], minlength=len(own))
             hit = np.flatnonzero(_is_link(both, size + len(q) - both) & (comp != c))
-            found = np.unique(comp[hit])
-            a += [c] * len(found)
-            b += found.tolist()
+            for other in np.unique(comp[hit]).tolist():
+                mine, its = root(c), root(other)
+                if mine != its:
+                    above[mine] = its
+                    a.append(c)
+                    b.append(other)
     return pa.table({"from": pa.array(a, pa.int64()), "to": pa.array(b, pa.int64())})
 
 
