@@ -139,3 +139,20 @@ def test_disclosing_terms(spark, tmp_path, tricky, empty):
     out = disclosure.find(tricky, disclosure.learn(tricky)).collect()
     assert len(out) == tricky.count() and {r.doc_id: r.base for r in out}[50].count(":") == 8
     assert disclosure.find(empty, disclosure.learn(empty)).count() == 0
+
+
+def test_rare_disclosing_terms_in_a_large_corpus(spark, tmp_path):
+    """A word beside 3 of 2,400 e-mails is a term, and so are words with digits; many terms are joined, not broadcast."""
+    rows = [(i, f"one may write to user@mail.example.org or call on a day like this and talk of {i % 7} things at length in the town {'and so on ' * 60}") for i in range(2400)]
+    rows += [(5000 + i, "Zebulon case_77 ΟΔΟΣ.Α İzmir a@b.example.org now") for i in range(3)] + [(6000, None), (6001, "zebulon İZMIR alone"), (6001, "zebulon İZMIR alone")]
+    file = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(file)
+    docs = spark.read.parquet(file)
+    table = disclosure.term_table(docs)
+    terms = disclosure.learn(docs)
+    assert terms["zebulon"].share == 3 / 5 and terms["case_77"].share == 1 and terms["i̇zmir"].share == 3 / 5 and "and" not in terms
+    key = lambda r: tuple(map(str, r))
+    few = disclosure.find(docs, table, with_text=True).collect()
+    assert sorted(few, key=key) == sorted(disclosure.find(docs, terms, with_text=True).collect(), key=key)
+    assert sorted(few, key=key) == sorted(disclosure.find(docs, table, with_text=True, broadcast_terms=0).collect(), key=key)
+    assert {r.spans for r in few if r.doc_id == 6001} == {"term:0:7,term:8:13"}
