@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,15 +29,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether `docs` is a Parquet scan with nothing but filters and projections on it, so that each row is one row of a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Filter", "Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        return docs.select(docs.metadataColumn("_metadata")["row_index"]).columns == ["_metadata.row_index"]
+    except AnalysisException:
+        return False
+
+
 def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """Add a row number that tells repeated rows apart. `docs` must be a stable scan (a file source): a row
-    then keeps its number when the scan is repeated."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Add a row number that tells repeated rows apart: the number of the row's file, and its place in the file.
+
+    It does not depend on how a scan is split, so a row keeps its number whatever executors come or go between two scans.
+    Anything but a scan is stored first; the result must then be used for every later scan.
+    """
+    docs = docs if _is_scan(docs) else stored(docs)
+    path, at, file = (fresh([*docs.columns, name], x) for x in ("path", "at", "file"))
+    meta = docs.metadataColumn("_metadata")
+    files = docs.select(meta["file_path"].alias(path)).distinct().coalesce(1).sortWithinPartitions(path)
+    files = stored(files.withColumn(file, F.monotonically_increasing_id()))
+    placed = docs.select(*[docs[f"`{c}`"] for c in docs.columns], meta["file_path"].alias(path), meta["row_index"].alias(at))
+    number = F.when(F.col(file).isNull(), F.raise_error(F.lit("a file came up after the scan began")).cast("long")).otherwise(F.shiftleft(file, 33) + F.col(at))
+    return placed.join(F.broadcast(files), path, "left").select(*[f"`{c}`" for c in docs.columns], number.alias(name))
+
+
+def texts_of(rows: DataFrame, name: str = "rid") -> DataFrame:
+    """(rid, doc_id, text) of numbered rows; a null text counts as empty."""
+    return rows.select(F.col(name).alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text) of every row; a null text counts as empty."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts_of(with_row_id(docs.select("doc_id", "text")))
 
 
 def fresh(columns: Iterable[str], name: str) -> str:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import fresh, lower_ascii, stored, table, with_row_id
+from pitspark.llm.common import fresh, keyed_texts, lower_ascii, stored, table, texts_of, with_row_id
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
@@ -83,7 +83,11 @@ def candidates(postings: DataFrame, rare: DataFrame, lists: int, slack: int = 0)
 def match(docs: DataFrame, items: DataFrame, size: int = 13, lists: int = 3) -> DataFrame:
     """One row for each document: rid, doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids of the
     items with occurring windows), runs (first and next word of each occurrence, from 0, by start)."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return match_texts(keyed_texts(docs), items, size, lists)
+
+
+def match_texts(keyed: DataFrame, items: DataFrame, size: int = 13, lists: int = 3) -> DataFrame:
+    """`match` for rows with numbers: rid, doc_id and text."""
     win = windows(items, size)
     rare = rare_terms(keyed, win, lists)
     found = candidates(index(keyed, rare), rare, lists)
@@ -107,7 +111,7 @@ def match(docs: DataFrame, items: DataFrame, size: int = 13, lists: int = 3) ->
 
 def proximity(docs: DataFrame, items: DataFrame, size: int = 13, lists: int = 3, slack: int = 3) -> DataFrame:
     """(doc_id, start, window, items) at which a window's rarest terms stand within `slack` places of where they belong."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    keyed = keyed_texts(docs)
     win = windows(items, size)
     rare = rare_terms(keyed, win, lists)
     found = candidates(index(keyed, rare), rare, lists, slack)
@@ -121,8 +125,9 @@ def contaminated() -> Column:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
     row = fresh(docs.columns, "row")
-    bad = match(docs, items).filter(contaminated()).select(F.col("rid").alias(row))
-    return with_row_id(docs, row).join(bad, row, "left_anti").drop(row)
+    rows = with_row_id(docs, row)
+    bad = match_texts(texts_of(rows, row), items).filter(contaminated()).select(F.col("rid").alias(row))
+    return rows.join(bad, row, "left_anti").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import fresh, stored, table, with_row_id
+from pitspark.llm.common import fresh, keyed_texts, stored, table, texts_of, with_row_id
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(rid, node, doc_id, digest, n_norm, n_points) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def digests(texts: DataFrame) -> DataFrame:
+    """(rid, node, doc_id, digest, n_norm, n_points) of every row of `texts` (rid, doc_id, text)."""
+    text = F.col("text")
     norm = F.translate(text, WHITE, "")
-    return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+    return texts.select(
+        "rid",
         F.spark_partition_id().cast("long").alias("node"),
         "doc_id",
         F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"),
@@ -61,7 +61,12 @@ def assign(docs: DataFrame, fan_in: int = 8, lane_rows: int = 200_000) -> DataFr
 
     `fan_in` is the number of runs that meet in a round, `lane_rows` about how many entries a lane of the last run has.
     """
-    rows = stored(digests(docs))
+    return assign_texts(keyed_texts(docs), fan_in, lane_rows)
+
+
+def assign_texts(texts: DataFrame, fan_in: int = 8, lane_rows: int = 200_000) -> DataFrame:
+    """`assign` for rows with numbers: rid, doc_id and text."""
+    rows = stored(digests(texts))
     total, nodes = rows.agg(F.count("*"), F.coalesce(F.max("node"), F.lit(0)) + 1).first()
     lanes = max(1, -(-total // lane_rows), min(total // 64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("best")
@@ -84,8 +89,9 @@ def assign(docs: DataFrame, fan_in: int = 8, lane_rows: int = 200_000) -> DataFr
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     row = fresh(docs.columns, "row")
-    kept = assign(docs).filter(F.col("rid") == F.col("keep_rid")).select(F.col("rid").alias(row))
-    return with_row_id(docs, row).join(kept, row, "left_semi").drop(row)
+    rows = with_row_id(docs, row)
+    kept = assign_texts(texts_of(rows, row)).filter(F.col("rid") == F.col("keep_rid")).select(F.col("rid").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

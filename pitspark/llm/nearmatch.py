@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitspark.llm import features
-from pitspark.llm.common import fresh, keyed_texts, stored, table, with_row_id
+from pitspark.llm.common import fresh, keyed_texts, stored, table, texts_of, with_row_id
 from pitspark.llm.components import components
 
 SHINGLE = 5
@@ -282,7 +282,11 @@ def near_groups(docs: DataFrame, block: int = 200_000) -> DataFrame:
 
     `block` bounds the shingles on either side of a comparison block (one document may be larger).
     """
-    texts = keyed_texts(docs)
+    return groups_of_texts(keyed_texts(docs), block)
+
+
+def groups_of_texts(texts: DataFrame, block: int = 200_000) -> DataFrame:
+    """`near_groups` for rows with numbers: rid, doc_id and text."""
     signed = stored(signatures(texts).withColumn("node", F.spark_partition_id()))
     full = signed.filter(F.col("n") > 0)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("first")
@@ -310,8 +314,9 @@ def near_groups(docs: DataFrame, block: int = 200_000) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group, with all columns."""
     row = fresh(docs.columns, "row")
-    kept = near_groups(docs).filter(F.col("rid") == F.col("component_rid")).select(F.col("rid").alias(row))
-    return with_row_id(docs, row).join(kept, row, "left_semi").drop(row)
+    rows = with_row_id(docs, row)
+    kept = groups_of_texts(texts_of(rows, row)).filter(F.col("rid") == F.col("component_rid")).select(F.col("rid").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
