@@ -71,7 +71,8 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.remember = remember
-        plain = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)) if c != 0x130]
+        latin = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250))]
+        plain = [c for c in latin if c.lower() in latin]  # some capitals lower to letters of other ranges, or to two characters
         kind = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
         letters, numbers = kind("L"), kind("N")
         self.plain = re.compile("[" + "".join(map(re.escape, plain)) + "]*")

@@ -21,6 +21,17 @@ def test_own_cutting_equals_the_tokenizer():
     assert w.encode(texts) == [np.asarray(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in texts]
 
 
+def test_every_plain_character_inside_a_word():
+    """Capitals whose lower case is outside the plain letters must not cut a word."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_file())
+    w = packing.WordTokenizer(packing.tokenizer_file())
+    texts = ["AZƏRBAYCAN", *[form.format(chr(c)) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)) for form in ("AB{}CD", "{}xy z", "xy{}", "{0}{0}")]]
+    got = w.encode(texts)
+    assert [s for s, ids in zip(texts, got, strict=True) if ids != np.asarray(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()] == []
+
+
 def test_pieces_and_places(tricky):
     from tokenizers import Tokenizer
 
