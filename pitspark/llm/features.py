@@ -1,7 +1,8 @@
 """Hashed character n-grams and words of many texts at once, as numpy arrays.
 
 Texts are cut into blocks of at most `BLOCK` characters, so memory does not depend on the length of a text. A text that
-is longer is cut behind a white space; only a single word beyond `BLOCK` characters is cut inside.
+is longer is cut behind a white space; only a single word beyond `BLOCK` characters is cut inside, and the block with its
+rest says so (`joins`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 
 BLOCK = 1 << 19
 SPACE = 32
+WHITE = " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -41,46 +43,50 @@ class Block:
     rows: np.ndarray  # the text that each piece belongs to
     starts: np.ndarray
     ends: np.ndarray
+    joins: bool = False  # the first word goes on with the last word of the block before
 
     def lengths(self) -> np.ndarray:
         return self.ends - self.starts
 
 
-def _pieces(text: str) -> Iterator[str]:
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """The pieces, each with whether it begins inside a word."""
     most = BLOCK - 2
-    at = 0
+    at, joins = 0, False
     while len(text) - at > most:
-        cut = max(text.rfind(c, at, at + most) for c in " \n\t") + 1
-        cut = cut if cut > at else at + most
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+        cut = max(text.rfind(c, at, at + most) for c in WHITE) + 1
+        inside = cut <= at
+        cut = at + most if inside else cut
+        yield text[at:cut], joins
+        at, joins = cut, inside and text[cut] not in WHITE
+    yield text[at:], joins
 
 
 def blocks(texts: list[str], lower: bool = False) -> Iterator[Block]:
     held: list[str] = []
     rows: list[int] = []
-    size = 0
+    size, first = 0, False
     for row, text in enumerate(texts):
-        for piece in _pieces(text or ""):
+        for piece, joins in _pieces(text or ""):
             if size + len(piece) + 2 > BLOCK and held:
-                yield _block(held, rows, lower)
+                yield _block(held, rows, lower, first)
                 held, rows, size = [], [], 0
+            first = first if held else joins  # a piece cut inside a word fills its block, so its rest begins the next one
             held.append(piece)
             rows.append(row)
             size += len(piece) + 2
     if held:
-        yield _block(held, rows, lower)
+        yield _block(held, rows, lower, first)
 
 
-def _block(pieces: list[str], rows: list[int], lower: bool) -> Block:
+def _block(pieces: list[str], rows: list[int], lower: bool, joins: bool) -> Block:
     codes = np.frombuffer((" " + "  ".join(pieces) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
     codes[(codes >= 9) & (codes <= 13)] = SPACE
     if lower:
         upper = ((codes >= 65) & (codes <= 90)) | ((codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7))
         codes[upper] += 32
     ends = np.cumsum(np.fromiter((len(p) + 2 for p in pieces), dtype=np.int64, count=len(pieces)))
-    return Block(codes, np.asarray(rows, dtype=np.int64), np.concatenate(([0], ends[:-1])), ends)
+    return Block(codes, np.asarray(rows, dtype=np.int64), np.concatenate(([0], ends[:-1])), ends, joins)
 
 
 def grams(block: Block, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,5 +114,10 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (prefix[ends] - prefix[starts]) * down[starts], starts, ends
 
 
+def joined_hash(before: int, length: int, after: int) -> int:
+    """The hash of a word from those of its first `length` characters and of the rest."""
+    return (before + after * pow(_BASE, length, 1 << 64)) % (1 << 64)
+
+
 def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * _MIX) >> np.uint64(64 - bits)).astype(np.int32)

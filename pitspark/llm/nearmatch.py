@@ -12,8 +12,7 @@ below 1e-5.
 Words are maximal runs without white space; A-Z are lower-cased. A shingle is five words; fewer words are one shingle.
 
 Defined cases: a document without words (null, empty, white space) has an empty set and no link. Repeated rows are copies
-of each other. Null doc_ids count as larger than any other. A single word beyond `features.BLOCK` characters is read as
-several words.
+of each other. Null doc_ids count as larger than any other.
 """
 
 from __future__ import annotations
@@ -52,10 +51,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles."""
     parts: dict[int, list[np.ndarray]] = {}
+    last, length = 0, 0  # hash and length of the last word so far
     for block in features.blocks(texts):
         upper = (block.codes >= 65) & (block.codes <= 90)
         block.codes[upper] += 32
-        hashes, starts, _ = features.words(block)
+        hashes, starts, ends = features.words(block)
+        if block.joins:
+            own = parts[int(block.rows[0])]
+            own[-1] = own[-1][:-1]
+            hashes[0] = features.joined_hash(last, length, int(hashes[0]))
+        if len(hashes):
+            last, length = int(hashes[-1]), int(ends[-1] - starts[-1]) + (length if block.joins and len(hashes) == 1 else 0)
         hashes = _mix(hashes)
         cuts = np.searchsorted(starts, np.append(block.starts, block.ends[-1]))
         for row, a, b in zip(block.rows.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
