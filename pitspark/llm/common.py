@@ -17,16 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """`stored`, and the folder for `drop_stored`."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext.getCheckpointDir()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared checkpoint folder and read it back.
 
     The lineage is cut, readers prune columns, and a lost executor loses nothing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = df.sparkSession.sparkContext.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df)[0]
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a table of `stored_at` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _is_scan(docs: DataFrame) -> bool:

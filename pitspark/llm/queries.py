@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import decontam, disclosure, exact, language, nearmatch, packing, quality, substrings, toxicity, urlrules
+from pitspark.llm import codebooks, decontam, disclosure, exact, language, nearmatch, packing, periodic, quality, substrings, toxicity, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_disclosure": disclosure.query,
     "op10_language": language.query,
+    "op11_periodic_runs": periodic.query,
+    "op13_codebooks": codebooks.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.ORACLE,
     "op5_url_rules": urlrules.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op13_codebooks": codebooks.ORACLE,
 }
