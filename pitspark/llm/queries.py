@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import codebooks, decontam, disclosure, exact, language, nearmatch, packing, periodic, quality, substrings, toxicity, urlrules
+from pitspark.llm import codebooks, decontam, disclosure, exact, language, nearmatch, packing, periodic, quality, substrings, toxicity, urlrules, vectortree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_disclosure": disclosure.query,
     "op10_language": language.query,
     "op11_periodic_runs": periodic.query,
+    "op12_nearest": vectortree.query,
     "op13_codebooks": codebooks.query,
 }
 
