@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +82,20 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return texts_of(with_row_id(docs.select("doc_id", "text")))
 
 
+def slices(batches: Iterable[pa.RecordBatch], *columns: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices whose strings or binaries of `columns` have about `size` bytes, one row at least:
+    what a worker makes of them stays small whatever the size of a batch."""
+    for batch in batches:
+        upto = np.zeros(len(batch) + 1, dtype=np.int64)
+        for c in columns:
+            upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """`name`, with underscores in front until no column has it."""
     taken = {c.lower() for c in columns}

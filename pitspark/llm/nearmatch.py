@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitspark.llm import features
-from pitspark.llm.common import fresh, keyed_texts, stored, table, texts_of, with_row_id
+from pitspark.llm.common import fresh, keyed_texts, slices, stored, table, texts_of, with_row_id
 from pitspark.llm.components import components
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("rid", T.LongType()), docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist())
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sign = [(signature(s) >> np.uint32(16)).astype(">u2").tobytes() if len(s) else None for s in sets]
@@ -196,7 +196,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "n", "hashes"])
 
@@ -217,7 +217,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "set_a", "set_b"):
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
@@ -327,7 +327,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("component_rid")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 ORACLE = r"""

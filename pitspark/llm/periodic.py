@@ -11,7 +11,7 @@ between neighbouring progressions, one proposal for each, miss no period. (Level
 there the step of a progression is a period itself.) Proposals are extended to both sides by binary descent through the
 levels and deduplicated; of several periods of one stretch the smallest stays. Names are ranks, never hashes: exact.
 
-A text is one row and is worked on as a whole; texts share a task in slices of `SLICE` bytes, so a worker's memory depends
+A text is one row and is worked on as a whole; texts share a task in slices of a few MB, so a worker's memory depends
 on the slice and the longest text only.
 
 Defined cases: a null text has no words, no runs and the empty collapsed text. A null id is passed on. Every input row gives
@@ -25,13 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import table
+from pitspark.llm.common import slices, table
 
-SLICE = 4 << 20
 SHORTEST = 12  # words of a run
 _LEAST = 2  # level of the first proposals
 
@@ -164,30 +162,19 @@ def _work(texts: list[bytes | None]) -> tuple[list[int], list[np.ndarray], list[
     return sizes, runs, collapsed
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of slices of about `SLICE` bytes."""
-    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))))
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(size, size[at] + SLICE, side="right")) - 1)
-        yield at, upto
-        at = upto
-
-
-_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
+_RUN = [pa.field(name, pa.int64()) for name in ("start", "length", "period")]
 
 
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, upto in _slices(batch.column(1)):
-            sizes, runs, collapsed = _work(batch.column(1).slice(at, upto - at).to_pylist())
-            flat = np.concatenate(runs) if runs else np.empty((0, 3), np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
-            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(3)], fields=list(_RUNS.value_type))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, upto - at), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, struct), pa.array(collapsed, pa.binary())],
-                names=[batch.schema.names[0], "n_words", "runs", "collapsed"],
-            )
+    for batch in slices(batches, "__text"):
+        sizes, runs, collapsed = _work(batch.column(1).to_pylist())
+        flat = np.concatenate(runs)
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
+        struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(3)], fields=_RUN)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, struct), pa.array(collapsed, pa.binary())],
+            names=[batch.schema.names[0], "n_words", "runs", "collapsed"],
+        )
 
 
 def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitspark.llm import features
-from pitspark.llm.common import fold_of, fresh, labelled_sample, table
+from pitspark.llm.common import fold_of, fresh, labelled_sample, slices, table
 
 BITS = 17
 SIZES = (3, 4, 5)
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             p = probabilities(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 

@@ -51,5 +51,5 @@ def test_odd_tables(spark, tricky, empty):
 
 
 def test_names():
-    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(queries.QUERIES) == 13
     assert set(queries.ORACLES) <= set(queries.QUERIES)
