@@ -27,6 +27,7 @@ CHUNK = "__chunk"
 BLOCK = "__block"
 POS = "__pos"
 PART = "__part"
+AT = "__cell"
 NO_TIME = -(1 << 62)
 
 Order = Sequence[Column | str]
@@ -125,9 +126,9 @@ def over_rows(
         block = home
     else:
         block = F.explode(F.array_compact(F.array(*targets)))
-    spread = numbered.select("*", home.alias("__home"), block.alias(BLOCK))
-    w = Window.partitionBy(*by, BLOCK).orderBy(POS)
-    out = compute(spread, w).filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, "__home")
+    spread = numbered.select("*", home.alias("__home"), block.alias(BLOCK)).withColumn(AT, F.struct(*by, BLOCK))
+    w = Window.partitionBy(AT).orderBy(POS)
+    out = compute(spread, w).filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, AT, "__home")
     return out.withColumnRenamed(POS, keep_pos) if keep_pos else out.drop(POS)
 
 
@@ -172,12 +173,11 @@ def ewm_lookback(alpha: float, floor: float = 1e-18) -> int:
     return max(1, math.ceil(math.log(floor) / math.log(1.0 - alpha)))
 
 
-def ewm_block(alpha: float, lookback: int | None = None) -> int:
+def ewm_block(alpha: float, lookback: int = 1) -> int:
     """Largest block the scaled prefix sum of :func:`with_ewm` may span without
     leaving the double range (weights stay above 1e-290)."""
-    reach = ewm_lookback(alpha) if lookback is None else lookback
-    limit = int(290 * math.log(10) / -math.log(1.0 - alpha)) - reach
-    return max(reach, min(max(4096, 4 * reach), limit))
+    limit = int(290 * math.log(10) / -math.log(1.0 - alpha)) - lookback
+    return max(lookback, min(max(4096, 4 * lookback), limit))
 
 
 @dataclass(frozen=True)
@@ -190,33 +190,120 @@ class Ewm:
     first_pos: int = 1
 
 
-def with_ewm(df: DataFrame, w: WindowSpec, specs: dict[str, Ewm]) -> DataFrame:
-    """Add recursive exponential averages, seeded with the first value.
+def with_ewm(d: DataFrame, w: WindowSpec, specs: dict[str, Ewm], *, fan: int = 1024) -> DataFrame:
+    """Add recursive exponential averages, seeded with the first value; for use inside :func:`over_rows`.
 
     Each value moves the average by y = c y' + (1-c) x. Without gaps c is
     1 - alpha. A gap carries the average forward while the weight of the past
     goes on falling: g rows after the last value, c = d^g / (d^g + alpha) with
-    d = 1 - alpha. The recursion is evaluated as a prefix sum inside the block
-    of :func:`over_rows`, scaled by the running product of c; without gaps,
-    rows older than the halo weigh less than 1e-18.
+    d = 1 - alpha. So a block acts on the average that enters it as an affine
+    map, once the distance to the value before it is known. Blocks are
+    summarised where they lie, the maps of a series are composed over its block
+    table (:func:`_entering`), and every row then starts from the average that
+    enters its block: no halo, and gaps of any length. Inside the block the
+    recursion is a prefix sum, scaled by the running product of c.
+
+    Copied rows have no average, but for the one just before the block, so that
+    a lag of one row may be taken; longer lags need a second ``over_rows``.
     """
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     name = lambda part, out: f"__{part}_{out}"
     pick = lambda part, out: F.col(name(part, out))
-    d = df.withColumns({name("x", o): F.when(F.col(POS) >= s.first_pos, s.value) for o, s in specs.items()})
+    kept = list(d.columns)
+    d = d.withColumn("__own", F.col(BLOCK) == F.col("__home"))
+    d = d.withColumns({name("x", o): F.when(F.col("__own") & (F.col(POS) >= s.first_pos), s.value) for o, s in specs.items()})
     d = d.withColumns({name("p", o): F.last(F.when(pick("x", o).isNotNull(), F.col(POS)), ignorenulls=True).over(before) for o in specs})
+    follows = lambda o: pick("x", o).isNotNull() & pick("p", o).isNotNull()
+    d = d.withColumns({name("c", o): F.when(follows(o), _past_weight(s.alpha, F.col(POS) - pick("p", o))) for o, s in specs.items()})
+    d = d.withColumns({name("l", o): F.sum(F.coalesce(-F.ln(pick("c", o)), F.lit(0.0))).over(upto) for o in specs})
+    d = d.withColumns({name("t", o): (1 - pick("c", o)) * pick("x", o) * F.exp(pick("l", o)) for o in specs})
 
-    def factor(o: str, s: Ewm) -> Column:
-        past = F.pow(F.lit(1.0 - s.alpha), (F.col(POS) - pick("p", o)).cast("double"))
-        return F.when(pick("x", o).isNotNull() & pick("p", o).isNotNull(), past / (past + s.alpha))
+    def summary(o: str) -> list[Column]:
+        at = F.when(pick("x", o).isNotNull(), F.col(POS))
+        shrink = F.exp(-F.max(pick("l", o)))
+        return [
+            F.struct(
+                F.min(at).alias("fp"), F.min_by(pick("x", o), at).alias("f"), F.max(at).alias("lp"),
+                shrink.alias("a"), (shrink * F.coalesce(F.sum(pick("t", o)), F.lit(0.0))).alias("b"),
+            ).alias(name("m", o))
+        ]
 
-    d = d.withColumns({name("c", o): factor(o, s) for o, s in specs.items()})
-    d = d.withColumns({name("l", o): F.sum(F.coalesce(-F.ln(pick("c", o)), F.lit(0.0))).over(upto) for o in specs})
-    weight = lambda o: F.when(pick("p", o).isNull(), F.lit(1.0)).otherwise(1 - pick("c", o))
-    d = d.withColumns({name("s", o): F.sum(weight(o) * pick("x", o) * F.exp(pick("l", o))).over(upto) for o in specs})
-    d = d.withColumns({o: pick("s", o) * F.exp(-pick("l", o)) for o in specs})
-    return d.drop(*[name(p, o) for o in specs for p in "xpcls"])
+    zero = F.xxhash64(*kept).bitwiseAND(F.lit(0).cast("long"))  # see shared_shuffle
+    parts = d.groupBy(AT).agg(F.max(zero).alias("__z"), *[c for o in specs for c in summary(o)]).filter(F.col("__z") == 0).drop("__z")
+    d = d.withColumns({name("s", o): F.sum(pick("t", o)).over(upto) for o in specs})
+    d = d.withColumns({name("f", o): F.first(pick("x", o), ignorenulls=True).over(upto) for o in specs})
+    d = d.withColumns({name("q", o): F.first(F.when(pick("x", o).isNotNull(), F.col(POS)), ignorenulls=True).over(upto) for o in specs})
+    d = d.withColumn("__next", F.lead("__own").over(w)).join(_entering(parts, {o: (name("m", o), s.alpha) for o, s in specs.items()}, fan), AT)
+
+    def average(o: str, s: Ewm) -> Column:
+        start = _joined(F.col(f"__in.{o}.y"), F.col(f"__in.{o}.p"), pick("f", o), pick("q", o), s.alpha)
+        here = F.exp(-pick("l", o)) * (start + F.coalesce(pick("s", o), F.lit(0.0)))
+        return F.when(F.col("__own"), F.when(pick("q", o).isNull(), F.col(f"__in.{o}.y")).otherwise(here)).when(F.col("__next"), F.col(f"__in.{o}.y"))
+
+    return d.select(*kept, *[average(o, s).alias(o) for o, s in specs.items()])
+
+
+def _past_weight(alpha: float, gap: Column) -> Column:
+    past = F.pow(F.lit(1.0 - alpha), gap.cast("double"))
+    return past / (past + alpha)
+
+
+def _joined(y: Column, p: Column, x: Column, pos: Column, alpha: float) -> Column:
+    """The average at a value x at ``pos`` after an average y whose last value was at ``p``."""
+    c = _past_weight(alpha, pos - p)
+    return F.when(y.isNull(), x).otherwise(c * y + (1 - c) * x)
+
+
+def _entering(parts: DataFrame, maps: dict[str, tuple[str, float]], fan: int) -> DataFrame:
+    """(AT, __in): the state (y: average, p: position of its last value) that enters each block, for every average.
+
+    A scan in two levels: the maps of ``fan`` blocks are composed, the composites of a series are walked, and
+    each group of ``fan`` is walked again from the state that enters it. With 1,024 a group holds at most 1,024 maps
+    for series of up to a million blocks. All of it is on the block table.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    state0 = F.struct(*[F.struct(none("double").alias("y"), none("long").alias("p")).alias(o) for o in maps])
+    map0 = F.struct(*[F.struct(none("long").alias("fp"), none("double").alias("f"), none("long").alias("lp"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).alias(o) for o in maps])
+
+    def step(state: Column, m: Column) -> Column:
+        """The state behind a block."""
+
+        def one(o: str, alpha: float) -> Column:
+            s, c = state[o], m[o]
+            y = c["a"] * _joined(s["y"], s["p"], c["f"], c["fp"], alpha) + c["b"]
+            return F.struct(F.when(c["fp"].isNull(), s["y"]).otherwise(y).alias("y"), F.coalesce(c["lp"], s["p"]).alias("p"))
+
+        return F.struct(*[one(o, alpha).alias(o) for o, (_, alpha) in maps.items()])
+
+    def compose(first: Column, then: Column) -> Column:
+        def one(o: str, alpha: float) -> Column:
+            m, n = first[o], then[o]
+            c = _past_weight(alpha, n["fp"] - m["lp"])
+            both = F.struct(m["fp"].alias("fp"), m["f"].alias("f"), n["lp"].alias("lp"), (n["a"] * c * m["a"]).alias("a"), (n["a"] * (c * m["b"] + (1 - c) * n["f"]) + n["b"]).alias("b"))
+            return F.when(n["fp"].isNull(), m).when(m["fp"].isNull(), n).otherwise(both)
+
+        return F.struct(*[one(o, alpha).alias(o) for o, (_, alpha) in maps.items()])
+
+    def walk(members: Column, start: Column) -> Column:
+        """(k, state): what enters each member."""
+        nothing = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("k"), state0.alias("state"))), F.lit(1), F.lit(0))
+        return F.aggregate(
+            members,
+            F.struct(start.alias("state"), nothing.alias("out")),
+            lambda acc, m: F.struct(step(acc["state"], m["m"]).alias("state"), F.concat(acc["out"], F.array(F.struct(m["k"].alias("k"), acc["state"].alias("state")))).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    block = F.col(f"{AT}.{BLOCK}")
+    series = F.col(AT).dropFields(BLOCK) if len(parts.schema[AT].dataType) > 1 else F.struct(F.lit(0).alias("all"))
+    member = F.struct(block.alias("k"), F.struct(*[F.col(m).alias(o) for o, (m, _) in maps.items()]).alias("m"), F.col(AT).alias("at"))
+    some = parts.select(series.alias("__s"), F.floor(block / fan).cast("long").alias("__u"), member.alias("e")).groupBy("__s", "__u").agg(F.sort_array(F.collect_list("e")).alias("ms"))
+    total = F.aggregate("ms", map0, lambda acc, m: compose(acc, m["m"]))
+    tops = some.select("__s", F.struct(F.col("__u").alias("k"), total.alias("m")).alias("e")).groupBy("__s").agg(F.sort_array(F.collect_list("e")).alias("us"))
+    enters = tops.select("__s", F.explode(walk(F.col("us"), state0)).alias("e")).select("__s", F.col("e.k").alias("__u"), F.col("e.state").alias("start"))
+    down = some.join(enters, ["__s", "__u"]).select("__s", F.explode(F.arrays_zip(F.col("ms.at").alias("at"), walk(F.col("ms"), F.col("start")).alias("e"))).alias("z"))
+    return down.select(F.col("z.at").alias(AT), F.col("z.e.state").alias("__in"))
 
 
 @dataclass(frozen=True)

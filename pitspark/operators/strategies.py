@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitspark.functions.mathfn import clip, ratio
 from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join
-from pitspark.operators.chunked import POS, Ewm, Running, SeriesKey, ewm_block, ewm_lookback, over_rows, running, with_ewm
+from pitspark.operators.chunked import POS, Ewm, Running, SeriesKey, ewm_block, over_rows, running, with_ewm
 
 Strategy = Callable[[DataFrame, SeriesKey], DataFrame]
 POSITION = "position"
@@ -33,7 +33,6 @@ def ma_cross(fast: int = 50, slow: int = 200, *, flat_below: bool = False, warmu
     warm = slow if warmup is None else warmup
     a, b = 2 / (fast + 1), 2 / (slow + 1)
     below = 0.0 if flat_below else -1.0
-    reach = max(ewm_lookback(a), ewm_lookback(b)) + 1
 
     def run(df: DataFrame, key: SeriesKey) -> DataFrame:
         def compute(d, w):
@@ -42,8 +41,7 @@ def ma_cross(fast: int = 50, slow: int = 200, *, flat_below: bool = False, warmu
             held = F.coalesce(F.lag("__raw").over(w), F.lit(0.0))
             return d.withColumn(POSITION, F.when(C(POS) > warm, held).otherwise(0.0)).drop("__raw", "__fast", "__slow")
 
-        block = min(ewm_block(a, reach), ewm_block(b, reach))
-        return over_rows(df, key, compute, lookback=reach, block_rows=block)
+        return over_rows(df, key, compute, lookback=1, block_rows=min(ewm_block(a), ewm_block(b)))
 
     return run
 
@@ -86,7 +84,7 @@ def daily_fill(
     """Session-close signal (trend agreeing with momentum, sized by range) that
     applies to all bars after that close."""
     a, b, g = 2 / (trend_fast + 1), 2 / (trend_slow + 1), 1 / atr_window
-    reach = max(ewm_lookback(x) for x in (a, b, g)) + max(momentum, atr_window) + 1
+    reach = max(momentum, atr_window) + 1
     block = min(ewm_block(x, reach) for x in (a, b, g))
     need = max(trend_slow, momentum, atr_window) + 1
 

@@ -12,7 +12,7 @@ from pitspark.operators import labels as L
 from pitspark.operators import regimes as G
 from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join, event_within, nearest_events
-from pitspark.operators.chunked import Ewm, SeriesKey, ewm_block, ewm_lookback, over_rows, over_time, POS, with_ewm
+from pitspark.operators.chunked import Ewm, SeriesKey, ewm_block, over_rows, over_time, POS, with_ewm
 from pitspark.operators.ranks import exact_quantiles
 from pitspark.operators.versions import latest_by
 from pitspark.plans.aggregates import labelled, rv60
@@ -145,8 +145,7 @@ def barrier_labels(bars, key: SeriesKey):
         nxt = safe_ln(F.lead("close").over(w)) - safe_ln(C("close"))
         return d.withColumn("next_return", nxt).drop("__tr", "__atr")
 
-    reach = ewm_lookback(a) + 1
-    out = over_rows(bars, key, compute, lookback=reach, lookahead=1, block_rows=ewm_block(a, reach))
+    out = over_rows(bars, key, compute, lookback=1, lookahead=1, block_rows=ewm_block(a, 2))
     spread = clip(proxy_spread(), 0, 200)
     return out.withColumn("label", L.triple_barrier_label(C("next_return"), C("barrier"), C("barrier"), spread))
 
@@ -361,10 +360,9 @@ def fold_sidecar(t: Tables):
         nxt = safe_ln(F.lead("close").over(w)) - safe_ln(C("close"))
         return d.withColumn("next_return", nxt)
 
-    reach = ewm_lookback(a) + 1
     bars = over_rows(
         t.daily.select("symbol", "bar_close", "high", "low", "close"), DAILY, compute,
-        lookback=reach, lookahead=1, block_rows=ewm_block(a, reach),
+        lookback=60, lookahead=1, block_rows=ewm_block(a, 61),
     )
     spread = clip(proxy_spread(), 0, 200)
     bars = bars.withColumn("label", L.triple_barrier_label(C("next_return"), C("barrier"), C("barrier"), spread))

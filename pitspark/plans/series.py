@@ -15,7 +15,6 @@ from pitspark.operators.chunked import (
     Running,
     SeriesKey,
     ewm_block,
-    ewm_lookback,
     over_rows,
     over_time,
     running,
@@ -337,9 +336,8 @@ def ewm_sql(src: str, x: str, alpha: str, out: str, first: int = 1) -> str:
 
 
 def ewm_args(*alphas: float, extra: int = 0) -> dict:
-    """Halo and block size for a composition of exponential averages."""
-    reach = sum(ewm_lookback(a) for a in alphas) + extra
-    return {"lookback": reach, "block_rows": min(ewm_block(a, reach) for a in alphas)}
+    """Halo (of other frames) and block size for exponential averages."""
+    return {"lookback": extra, "block_rows": min(ewm_block(a, extra) for a in alphas)}
 
 
 @query(
@@ -372,9 +370,7 @@ def ema(t: Tables):
     def compute(d, w):
         return with_ewm(d, w, {"ema_50": Ewm(C("close"), fast), "ema_200": Ewm(C("close"), slow)})
 
-    lookback = ewm_lookback(slow)
-    block = min(ewm_block(a, lookback) for a in (fast, slow))
-    return finish(over_rows(bars_of(t, "close"), BAR, compute, lookback=lookback, block_rows=block), "ema_50", "ema_200")
+    return finish(over_rows(bars_of(t, "close"), BAR, compute, **ewm_args(fast, slow)), "ema_50", "ema_200")
 
 
 view(
@@ -459,9 +455,7 @@ def macd_signal(t: Tables):
         d = d.withColumn("macd", C("fast") - C("slow"))
         return with_ewm(d, w, {"macd_signal": Ewm(C("macd"), 2 / 10, 2)})
 
-    reach = ewm_lookback(2 / 27) + ewm_lookback(2 / 10) + 1
-    block = min(ewm_block(a, reach) for a in (2 / 13, 2 / 27, 2 / 10))
-    out = over_rows(bars_of(t, "close"), BAR, compute, lookback=reach, block_rows=block)
+    out = over_rows(bars_of(t, "close"), BAR, compute, **ewm_args(2 / 13, 2 / 27, 2 / 10, extra=1))
     return finish(out, "macd", "macd_signal")
 
 

@@ -340,6 +340,32 @@ def test_ewm_over_gaps(spark):
         assert all(w != w or abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("fan", [2, 1024])
+def test_ewm_carries_on_over_gaps_longer_than_blocks(spark, fan):
+    """Nulls over many blocks, at the start, and a series without any value; blocks far shorter than the memory."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(50, 5, 1500)
+    x[:70] = x[300:900] = x[1200:1201] = x[1490:] = np.nan
+    series_x = {"a": x, None: np.full(90, np.nan), "b": rng.normal(0, 1, 333)}
+    rows = [(s, T0 + dt.timedelta(minutes=i), i, None if v != v else float(v)) for s, xs in series_x.items() for i, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id long, x double")
+    specs = {"y": Ewm(C("x"), 1 / 14), "z": Ewm(C("x"), 2 / 201)}
+
+    def compute(d, w):
+        d = with_ewm(d, w, specs, fan=fan)
+        d = d.withColumn("before", F.lag("y").over(w))
+        return with_ewm(d, w, {"yy": Ewm(C("y"), 0.3)}, fan=fan)
+
+    out = over_rows(df, SeriesKey(("symbol",), "ts", ("id",), chunk_seconds=7200), compute, lookback=1, block_rows=32)
+    got = out.toPandas().sort_values("id")
+    for s, xs in series_x.items():
+        g = got[got["symbol"].isna() if s is None else got["symbol"] == s]
+        ewm = lambda v, alpha: v.ewm(alpha=alpha, adjust=False).mean()
+        y = ewm(pd.Series(xs), 1 / 14)
+        for c, want in {"y": y, "z": ewm(pd.Series(xs), 2 / 201), "before": y.shift(), "yy": ewm(y, 0.3)}.items():
+            assert np.allclose(g[c].to_numpy(dtype=float), want, rtol=1e-10, equal_nan=True), (s, c)
+
+
 def test_rows_without_key_or_time_stay(spark):
     rows = [(s, None if i % 9 == 0 else T0 + dt.timedelta(minutes=i), i, float(i)) for i, s in enumerate([None, "a", "b"] * 30)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id long, x double")
