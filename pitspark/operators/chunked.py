@@ -126,7 +126,7 @@ def over_rows(
         block = home
     else:
         block = F.explode(F.array_compact(F.array(*targets)))
-    spread = numbered.select("*", home.alias("__home"), block.alias(BLOCK)).withColumn(AT, F.struct(*by, BLOCK))
+    spread = numbered.select("*", home.alias("__home"), block.alias(BLOCK)).withColumn(AT, F.struct(*by, BLOCK)).repartition(AT)
     w = Window.partitionBy(AT).orderBy(POS)
     out = compute(spread, w).filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, AT, "__home")
     return out.withColumnRenamed(POS, keep_pos) if keep_pos else out.drop(POS)
@@ -206,104 +206,95 @@ def with_ewm(d: DataFrame, w: WindowSpec, specs: dict[str, Ewm], *, fan: int = 1
     Copied rows have no average, but for the one just before the block, so that
     a lag of one row may be taken; longer lags need a second ``over_rows``.
     """
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    name = lambda part, out: f"__{part}_{out}"
-    pick = lambda part, out: F.col(name(part, out))
     kept = list(d.columns)
     d = d.withColumn("__own", F.col(BLOCK) == F.col("__home"))
-    d = d.withColumns({name("x", o): F.when(F.col("__own") & (F.col(POS) >= s.first_pos), s.value) for o, s in specs.items()})
-    d = d.withColumns({name("p", o): F.last(F.when(pick("x", o).isNotNull(), F.col(POS)), ignorenulls=True).over(before) for o in specs})
-    follows = lambda o: pick("x", o).isNotNull() & pick("p", o).isNotNull()
-    d = d.withColumns({name("c", o): F.when(follows(o), _past_weight(s.alpha, F.col(POS) - pick("p", o))) for o, s in specs.items()})
-    d = d.withColumns({name("l", o): F.sum(F.coalesce(-F.ln(pick("c", o)), F.lit(0.0))).over(upto) for o in specs})
-    d = d.withColumns({name("t", o): (1 - pick("c", o)) * pick("x", o) * F.exp(pick("l", o)) for o in specs})
-
-    def summary(o: str) -> list[Column]:
-        at = F.when(pick("x", o).isNotNull(), F.col(POS))
-        shrink = F.exp(-F.max(pick("l", o)))
-        return [
-            F.struct(
-                F.min(at).alias("fp"), F.min_by(pick("x", o), at).alias("f"), F.max(at).alias("lp"),
-                shrink.alias("a"), (shrink * F.coalesce(F.sum(pick("t", o)), F.lit(0.0))).alias("b"),
-            ).alias(name("m", o))
-        ]
-
-    zero = F.xxhash64(*kept).bitwiseAND(F.lit(0).cast("long"))  # see shared_shuffle
-    parts = d.groupBy(AT).agg(F.max(zero).alias("__z"), *[c for o in specs for c in summary(o)]).filter(F.col("__z") == 0).drop("__z")
-    d = d.withColumns({name("s", o): F.sum(pick("t", o)).over(upto) for o in specs})
-    d = d.withColumns({name("f", o): F.first(pick("x", o), ignorenulls=True).over(upto) for o in specs})
-    d = d.withColumns({name("q", o): F.first(F.when(pick("x", o).isNotNull(), F.col(POS)), ignorenulls=True).over(upto) for o in specs})
-    d = d.withColumn("__next", F.lead("__own").over(w)).join(_entering(parts, {o: (name("m", o), s.alpha) for o, s in specs.items()}, fan), AT)
-
-    def average(o: str, s: Ewm) -> Column:
-        start = _joined(F.col(f"__in.{o}.y"), F.col(f"__in.{o}.p"), pick("f", o), pick("q", o), s.alpha)
-        here = F.exp(-pick("l", o)) * (start + F.coalesce(pick("s", o), F.lit(0.0)))
-        return F.when(F.col("__own"), F.when(pick("q", o).isNull(), F.col(f"__in.{o}.y")).otherwise(here)).when(F.col("__next"), F.col(f"__in.{o}.y"))
-
-    return d.select(*kept, *[average(o, s).alias(o) for o, s in specs.items()])
-
-
-def _past_weight(alpha: float, gap: Column) -> Column:
-    past = F.pow(F.lit(1.0 - alpha), gap.cast("double"))
-    return past / (past + alpha)
-
-
-def _joined(y: Column, p: Column, x: Column, pos: Column, alpha: float) -> Column:
-    """The average at a value x at ``pos`` after an average y whose last value was at ``p``."""
-    c = _past_weight(alpha, pos - p)
-    return F.when(y.isNull(), x).otherwise(c * y + (1 - c) * x)
-
-
-def _entering(parts: DataFrame, maps: dict[str, tuple[str, float]], fan: int) -> DataFrame:
+    d = d.withColumns({f"__x_{o}": F.when(F.col("__own") & (F.col(POS) >= s.first_pos), s.value).cast("double") for o, s in specs.items()})
+    over = f"OVER (PARTITION BY {AT} ORDER BY {POS} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    upto, before = f"{over} CURRENT ROW)", f"{over} 1 PRECEDING)"
+
+    def added(*template: str) -> None:
+        nonlocal d
+        new = [t.format(o=o, p=POS, alpha=_sql(s.alpha), c=_past_weight(s.alpha, f"{POS} - `__p_{o}`"), upto=upto, before=before) for o, s in specs.items() for t in template]
+        d = d.selectExpr("*", *new)
+
+    added("last(if(`__x_{o}` IS NOT NULL, {p}, NULL), true) {before} AS `__p_{o}`")
+    added("if(`__x_{o}` IS NOT NULL AND `__p_{o}` IS NOT NULL, {c}, NULL) AS `__c_{o}`")
+    added("sum(coalesce(-ln(`__c_{o}`), 0D)) {upto} AS `__l_{o}`")
+    added("(1 - `__c_{o}`) * `__x_{o}` * exp(`__l_{o}`) AS `__t_{o}`")
+    summary = """named_struct('fp', min(if(`__x_{o}` IS NOT NULL, {p}, NULL)), 'f', min_by(`__x_{o}`, if(`__x_{o}` IS NOT NULL, {p}, NULL)),
+        'lp', max(if(`__x_{o}` IS NOT NULL, {p}, NULL)), 'a', exp(-max(`__l_{o}`)), 'b', exp(-max(`__l_{o}`)) * coalesce(sum(`__t_{o}`), 0D)) AS `{o}`"""
+    zero = "max(xxhash64({}) & 0L) AS __z".format(", ".join(f"`{c}`" for c in kept))  # see shared_shuffle
+    parts = d.groupBy(AT).agg(F.expr(zero), *[F.expr(summary.format(o=o, p=POS)) for o in specs]).filter("__z = 0").drop("__z")
+    added("sum(`__t_{o}`) {upto} AS `__s_{o}`", "first(`__x_{o}`, true) {upto} AS `__f_{o}`", "first(if(`__x_{o}` IS NOT NULL, {p}, NULL), true) {upto} AS `__q_{o}`")
+    d = d.selectExpr("*", f"lead(__own) OVER (PARTITION BY {AT} ORDER BY {POS}) AS __next")
+    d = d.join(_entering(parts, {o: s.alpha for o, s in specs.items()}, fan), AT)
+
+    def average(o: str, alpha: float) -> str:
+        start = _joined(f"__in.`{o}`", f"`__f_{o}`", f"`__q_{o}`", alpha)
+        here = f"if(`__q_{o}` IS NULL, __in.`{o}`.y, exp(-`__l_{o}`) * ({start} + coalesce(`__s_{o}`, 0D)))"
+        return f"CASE WHEN __own THEN {here} WHEN __next THEN __in.`{o}`.y END AS `{o}`"
+
+    return d.selectExpr(*[f"`{c}`" for c in kept], *[average(o, s.alpha) for o, s in specs.items()])
+
+
+def _sql(x: float) -> str:
+    return f"{x!r}D"
+
+
+def _past_weight(alpha: float, gap: str) -> str:
+    past = f"power({_sql(1.0 - alpha)}, {gap})"
+    return f"({past} / ({past} + {_sql(alpha)}))"
+
+
+def _joined(state: str, x: str, pos: str, alpha: float) -> str:
+    """The average at a value x at ``pos`` behind a state (y: average, p: position of its last value)."""
+    c = _past_weight(alpha, f"{pos} - {state}.p")
+    return f"if({state}.y IS NULL, {x}, {c} * {state}.y + (1 - {c}) * {x})"
+
+
+def _entering(parts: DataFrame, alphas: dict[str, float], fan: int) -> DataFrame:
     """(AT, __in): the state (y: average, p: position of its last value) that enters each block, for every average.
 
-    A scan in two levels: the maps of ``fan`` blocks are composed, the composites of a series are walked, and
-    each group of ``fan`` is walked again from the state that enters it. With 1,024 a group holds at most 1,024 maps
-    for series of up to a million blocks. All of it is on the block table.
+    A scan in two levels over the block table: the maps of ``fan`` blocks are composed, the composites of a series
+    are walked, and each group of ``fan`` maps is walked again from the state that enters it.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    state0 = F.struct(*[F.struct(none("double").alias("y"), none("long").alias("p")).alias(o) for o in maps])
-    map0 = F.struct(*[F.struct(none("long").alias("fp"), none("double").alias("f"), none("long").alias("lp"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).alias(o) for o in maps])
+    none = "named_struct(" + ", ".join(f"'{o}', named_struct('y', CAST(NULL AS DOUBLE), 'p', CAST(NULL AS BIGINT))" for o in alphas) + ")"
+    same = "named_struct(" + ", ".join(
+        f"'{o}', named_struct('fp', CAST(NULL AS BIGINT), 'f', CAST(NULL AS DOUBLE), 'lp', CAST(NULL AS BIGINT), 'a', 1D, 'b', 0D)" for o in alphas
+    ) + ")"
 
-    def step(state: Column, m: Column) -> Column:
+    def step(state: str, m: str) -> str:
         """The state behind a block."""
-
-        def one(o: str, alpha: float) -> Column:
-            s, c = state[o], m[o]
-            y = c["a"] * _joined(s["y"], s["p"], c["f"], c["fp"], alpha) + c["b"]
-            return F.struct(F.when(c["fp"].isNull(), s["y"]).otherwise(y).alias("y"), F.coalesce(c["lp"], s["p"]).alias("p"))
-
-        return F.struct(*[one(o, alpha).alias(o) for o, (_, alpha) in maps.items()])
-
-    def compose(first: Column, then: Column) -> Column:
-        def one(o: str, alpha: float) -> Column:
-            m, n = first[o], then[o]
-            c = _past_weight(alpha, n["fp"] - m["lp"])
-            both = F.struct(m["fp"].alias("fp"), m["f"].alias("f"), n["lp"].alias("lp"), (n["a"] * c * m["a"]).alias("a"), (n["a"] * (c * m["b"] + (1 - c) * n["f"]) + n["b"]).alias("b"))
-            return F.when(n["fp"].isNull(), m).when(m["fp"].isNull(), n).otherwise(both)
-
-        return F.struct(*[one(o, alpha).alias(o) for o, (_, alpha) in maps.items()])
-
-    def walk(members: Column, start: Column) -> Column:
-        """(k, state): what enters each member."""
-        nothing = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("k"), state0.alias("state"))), F.lit(1), F.lit(0))
-        return F.aggregate(
-            members,
-            F.struct(start.alias("state"), nothing.alias("out")),
-            lambda acc, m: F.struct(step(acc["state"], m["m"]).alias("state"), F.concat(acc["out"], F.array(F.struct(m["k"].alias("k"), acc["state"].alias("state")))).alias("out")),
-            lambda acc: acc["out"],
+        one = (
+            f"'{o}', named_struct('y', if({m}.`{o}`.fp IS NULL, {state}.`{o}`.y, {m}.`{o}`.a * {_joined(f'{state}.`{o}`', f'{m}.`{o}`.f', f'{m}.`{o}`.fp', a)} + {m}.`{o}`.b),"
+            f" 'p', coalesce({m}.`{o}`.lp, {state}.`{o}`.p))"
+            for o, a in alphas.items()
         )
-
-    block = F.col(f"{AT}.{BLOCK}")
-    series = F.col(AT).dropFields(BLOCK) if len(parts.schema[AT].dataType) > 1 else F.struct(F.lit(0).alias("all"))
-    member = F.struct(block.alias("k"), F.struct(*[F.col(m).alias(o) for o, (m, _) in maps.items()]).alias("m"), F.col(AT).alias("at"))
-    some = parts.select(series.alias("__s"), F.floor(block / fan).cast("long").alias("__u"), member.alias("e")).groupBy("__s", "__u").agg(F.sort_array(F.collect_list("e")).alias("ms"))
-    total = F.aggregate("ms", map0, lambda acc, m: compose(acc, m["m"]))
-    tops = some.select("__s", F.struct(F.col("__u").alias("k"), total.alias("m")).alias("e")).groupBy("__s").agg(F.sort_array(F.collect_list("e")).alias("us"))
-    enters = tops.select("__s", F.explode(walk(F.col("us"), state0)).alias("e")).select("__s", F.col("e.k").alias("__u"), F.col("e.state").alias("start"))
-    down = some.join(enters, ["__s", "__u"]).select("__s", F.explode(F.arrays_zip(F.col("ms.at").alias("at"), walk(F.col("ms"), F.col("start")).alias("e"))).alias("z"))
-    return down.select(F.col("z.at").alias(AT), F.col("z.e.state").alias("__in"))
+        return f"named_struct({', '.join(one)})"
+
+    def compose(m: str, n: str) -> str:
+        """The map of a block and the one behind it."""
+        parts = []
+        for o, alpha in alphas.items():
+            one, two = f"{m}.`{o}`", f"{n}.`{o}`"
+            c = _past_weight(alpha, f"{two}.fp - {one}.lp")
+            both = f"named_struct('fp', {one}.fp, 'f', {one}.f, 'lp', {two}.lp, 'a', {two}.a * {c} * {one}.a, 'b', {two}.a * ({c} * {one}.b + (1 - {c}) * {two}.f) + {two}.b)"
+            parts.append(f"'{o}', CASE WHEN {two}.fp IS NULL THEN {one} WHEN {one}.fp IS NULL THEN {two} ELSE {both} END")
+        return f"named_struct({', '.join(parts)})"
+
+    block = f"{AT}.{BLOCK}"
+    series = [f.name for f in parts.schema[AT].dataType if f.name != BLOCK]
+    key = "struct({})".format(", ".join(f"{AT}.`{c}`" for c in series)) if series else "struct(0)"
+    maps = "struct({})".format(", ".join(f"`{o}`" for o in alphas))
+    some = parts.selectExpr(f"{key} AS __s", f"{block} div {fan} AS __u", f"named_struct('k', {block}, 'm', {maps}, 'at', {AT}) AS e")
+    some = some.groupBy("__s", "__u").agg(F.expr("sort_array(collect_list(e)) AS ms"))
+    some = some.selectExpr("*", f"aggregate(ms, {same}, (acc, e) -> {compose('acc', 'e.m')}) AS total")
+    earlier = "collect_list(total) OVER (PARTITION BY __s ORDER BY __u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    some = some.selectExpr("ms", f"{earlier} AS totals").selectExpr("ms", f"aggregate(totals, {none}, (acc, m) -> {step('acc', 'm')}) AS start")
+    out = f"named_struct('at', e.at, 'state', acc.state)"
+    nothing = f"slice(array(named_struct('at', ms[0].at, 'state', {none})), 1, 0)"
+    walk = f"aggregate(ms, named_struct('state', start, 'out', {nothing}), (acc, e) -> named_struct('state', {step('acc.state', 'e.m')}, 'out', concat(acc.out, array({out}))), acc -> acc.out)"
+    return some.selectExpr(f"inline({walk}) AS ({AT}, __in)")
 
 
 @dataclass(frozen=True)
