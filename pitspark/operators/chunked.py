@@ -18,6 +18,9 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -369,30 +372,73 @@ def chunk_scan(
     key: SeriesKey,
     *,
     summarise: Callable,
-    summary_schema: str,
-    chain: Callable,
-    carry_schema: str,
+    compose: Callable,
+    walk: Callable,
+    start: Sequence[float],
     apply: Callable,
     out_schema: str,
     block_rows: int = 50_000,
+    fan: int = 1024,
 ) -> DataFrame:
-    """Exact sequential scan for path-dependent state, parallel over blocks.
-
-    Works when the effect of a block on the state has a compact composite:
-    ``summarise(rows)`` returns that composite as one row, ``chain(summaries)``
-    walks the per-series block table (one row per ``block_rows`` rows) and
-    returns the state entering each block, ``apply(rows)`` replays one block
-    from its entering state. Python groups are blocks of bounded size.
-    The three functions take and return pandas frames.
+    """Exact scan for path-dependent state, parallel over blocks.
+
+    Works when the effect of a block on the state has a compact composite, a
+    vector of fixed length: ``summarise(rows)`` gives it, ``compose(composites)``
+    the one of several blocks in order, ``walk(state, composites)`` the states
+    that enter each of them and, last, the one behind them; ``apply(rows, state)``
+    replays a block. Rows come as pandas frames in order.
+
+    The block table is scanned as a tree: up, every ``fan`` composites make one;
+    down, every group of ``fan`` is walked from the state that enters it. So no
+    task holds more than ``fan`` composites of blocks, and of their groups no
+    more than a series of ``fan`` * ``fan`` blocks has (5 * 10^10 rows with the
+    defaults): the series' length is never walked in one place.
     """
     by = list(key.by)
-    rows = row_positions(df, key).withColumn(
-        BLOCK, F.floor((F.col(POS) - 1) / F.lit(block_rows)).cast("long")
-    )
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    keys = f"{keys}, {BLOCK} long" if keys else f"{BLOCK} long"
-    parts = rows.groupBy(*by, BLOCK).applyInPandas(summarise, f"{keys}, {summary_schema}")
-    states = parts.groupBy(*by).applyInPandas(chain, f"{keys}, {carry_schema}")
+    rows = row_positions(df, key).withColumn(BLOCK, F.floor((F.col(POS) - 1) / F.lit(block_rows)).cast("long"))
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in [*by, BLOCK]}, "m": np.asarray(summarise(pdf), dtype=float)}])
+
+    def up(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([compose(_stack(ms)) for ms in b.column(2)], pa.list_(pa.float64()))], names=[*b.schema.names, "total"])
+
+    def down(batches):
+        for b in batches:
+            at, ks, states = [], [], []
+            for i, (ms, totals) in enumerate(zip(b.column(1), b.column(2))):
+                state = np.asarray(start, dtype=float)
+                if len(totals):
+                    state = walk(state, np.stack([np.asarray(t, dtype=float) for t in totals.as_py()]))[-1]
+                states += list(walk(state, _stack(ms))[:-1])
+                ks.append(ms.values.field(0).to_numpy())
+                at += [i] * len(ks[-1])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(ks)), pa.array(states, pa.list_(pa.float64()))], names=["s", "k", "state"]
+            )
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    parts = rows.groupBy(*by, BLOCK).applyInPandas(summary, f"{fields}{', ' if by else ''}{BLOCK} long, m array<double>")
+    series = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    some = parts.select(series.alias("s"), F.floor(F.col(BLOCK) / fan).cast("long").alias("u"), F.struct(F.col(BLOCK).alias("k"), "m").alias("e"))
+    some = some.groupBy("s", "u").agg(F.sort_array(F.collect_list("e")).alias("ms"))
+    struct = some.schema["s"].dataType.simpleString()
+    some = some.mapInArrow(up, f"s {struct}, u long, ms array<struct<k: long, m: array<double>>>, total array<double>")
+    earlier = F.collect_list("total").over(Window.partitionBy("s").orderBy("u").rowsBetween(Window.unboundedPreceding, -1))
+    states = some.select("s", "ms", earlier.alias("totals")).mapInArrow(down, f"s {struct}, k long, state array<double>")
+    states = states.select(F.struct(*[F.col(f"s.{k}") for k in by], F.col("k").alias(BLOCK)).alias(PART), F.col("state").alias("__state"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS)
+        return apply(pdf, np.asarray(pdf["__state"].iloc[0], dtype=float))
+
     block = F.struct(*by, BLOCK).alias(PART)  # null keys are equal inside a struct
-    states = states.select(block, *[c for c in states.columns if c not in (*by, BLOCK)])
-    return rows.select("*", block).join(states, PART).drop(PART).groupBy(*by, BLOCK).applyInPandas(apply, out_schema)
+    return rows.select("*", block).join(states, PART).drop(PART).groupBy(*by, BLOCK).applyInPandas(replay, out_schema)
+
+
+def _stack(members: pa.Scalar) -> np.ndarray:
+    """The composites of a list of (k, m), one in a row."""
+    m = members.values.field(1)
+    return m.flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)

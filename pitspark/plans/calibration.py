@@ -145,7 +145,7 @@ def _alpha_sql() -> str:
 def adaptive_alpha_query(t: Tables):
     """Online miscoverage level by expert aggregation."""
     rows = materialise(sets(t).filter(C("slice") == "c").select("fold", "row_id", (~C("covered")).cast("double").alias("missed")))
-    out = adaptive_alpha(ordered(rows), SeriesKey(("fold",), "at", ("row_id",)), missed="missed", block_rows=64)
+    out = adaptive_alpha(ordered(rows), SeriesKey(("fold",), "at", ("row_id",)), missed="missed")
     return out.select("fold", "row_id", rnd(C("alpha")).alias("alpha"), rnd(C("alpha_next")).alias("alpha_next"))
 
 

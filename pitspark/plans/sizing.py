@@ -161,5 +161,5 @@ def breaker(t: Tables):
 
     r = over_rows(t.daily.select("symbol", "bar_close", "close"), DAILY, compute, lookback=1)
     e = running(r, DAILY, [Running("cum", "sum", C("r"))]).select("symbol", "bar_close", F.exp("cum").alias("equity"))
-    out = drawdown_breaker(e, DAILY, equity="equity", block_rows=512)
+    out = drawdown_breaker(e, DAILY, equity="equity")
     return out.select("symbol", "bar_close", C("level").cast("long").alias("level"), "size_multiplier")
