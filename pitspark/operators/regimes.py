@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.functions.sessions import year_buckets
+from pitspark.operators.chain import filtered, fit_chains
+from pitspark.operators.chunked import SeriesKey
 from pitspark.operators.ranks import exact_quantiles
 
 
@@ -47,37 +49,15 @@ def regime_columns(
 
 
 def volatility_posterior(
-    df: DataFrame, *, fold: str, folds: Sequence[int], train: Column, ret: str, rv: str, out: str, min_rows: int = 200, seed: int = 7
+    df: DataFrame, *, fold: str, key: SeriesKey, train: Column, ret: str, rv: str, out: str, min_rows: int = 200, turns: int = 10
 ) -> DataFrame:
-    """Probability of the high-volatility state from a two-component Gaussian
-    mixture on (|return|, realised vol), fitted on each fold's training rows.
+    """Probability of the high-volatility state of a two-state chain on
+    (|return|, realised vol), fitted on each fold's training rows.
 
-    Rows with a missing feature, rows of no fitted fold, and folds with fewer
-    than ``min_rows`` training rows get 0.5. The
-    mixture sees no order in time, so the posterior of a row never depends on
-    later rows.
+    The filter sees the rows up to each row only, so nothing later changes it.
+    Rows with a missing feature, and rows of folds with fewer than ``min_rows``
+    training rows, get 0.5. ``turns`` is the number of EM steps.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    vec = VectorAssembler(inputCols=["__a", rv], outputCol="__x", handleInvalid="skip")
-    src = df.withColumn("__a", F.abs(F.col(ret)))
-    has = F.col("__a").isNotNull() & F.col(rv).isNotNull()
-    fitted = F.coalesce(F.col(fold).isin(list(folds)), F.lit(False))
-    parts = [src.filter(~(has & fitted)).withColumn(out, F.lit(0.5)).drop("__a")]
-    for k in folds:
-        rows = vec.transform(src.filter(has & (F.col(fold) == k)))
-        fit_rows = rows.filter(train)
-        if fit_rows.count() < min_rows:
-            scored = rows.withColumn(out, F.lit(0.5))
-        else:
-            model = GaussianMixture(featuresCol="__x", probabilityCol="__p", predictionCol="__c", k=2, seed=seed).fit(fit_rows)
-            means = [g.mean[1] for g in model.gaussians]
-            high = means.index(max(means))
-            scored = model.transform(rows).withColumn(out, vector_to_array("__p")[high])
-        parts.append(scored.select(*df.columns, out))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    rows = df.withColumn("__a", F.abs(F.col(ret)))
+    chains = fit_chains(rows, fold, key, ["__a", rv], train, turns=turns, min_rows=min_rows)
+    return filtered(rows, fold, key, ["__a", rv], chains, out).drop("__a")

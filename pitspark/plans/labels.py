@@ -307,22 +307,49 @@ def regime_vector(t: Tables):
     return out.select("symbol", "bar_close", *[c for c in out.columns if c.startswith("regime_")])
 
 
-@query("vol_state_posterior")
-def vol_state_posterior(t: Tables):
-    """High-volatility probability per fold and bar."""
-
+def volatility_rows(t: Tables):
     def compute(d, w):
         d = d.withColumn("ret", R.log_return(C("close"), 1, w))
         return d.withColumn("rv", R.std(C("ret"), 60, 60, w))
 
-    bars = over_rows(t.daily.select("symbol", "bar_close", "close"), DAILY, compute, lookback=60)
-    rows = materialise(folded(t, bars))
-    out = G.volatility_posterior(
-        rows, fold="fold", folds=range(FO.FoldSpec().n_folds), train=C("role") == "train", ret="ret", rv="rv", out="p_high_vol"
-    )
+    return folded(t, over_rows(t.daily.select("symbol", "bar_close", "close"), DAILY, compute, lookback=60))
+
+
+@query("vol_state_posterior")
+def vol_state_posterior(t: Tables):
+    """High-volatility probability per fold and bar: chain fitted by EM."""
+    out = G.volatility_posterior(materialise(volatility_rows(t)), fold="fold", key=DAILY, train=C("role") == "train", ret="ret", rv="rv", out="p_high_vol")
     return out.select("symbol", "fold", "bar_close", rnd(C("p_high_vol"), 4).alias("p_high_vol"))
 
 
+@query(
+    "vol_state_filter",
+    """WITH RECURSIVE x AS (SELECT d.symbol, d.fold, d.bar_close, d.role, abs(r.ret) AS a, v.rv, a IS NOT NULL AND v.rv IS NOT NULL AS ok
+          FROM folded d JOIN rv60 v USING (symbol, bar_close)
+          JOIN (SELECT symbol, bar_close, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY bar_close)) AS ret FROM daily) r USING (symbol, bar_close) WHERE d.role IS NOT NULL),
+       tr AS (SELECT symbol, fold, bar_close, a, rv, (rv > avg(rv) OVER (PARTITION BY fold))::INT AS s FROM x WHERE ok AND role = 'train'),
+       l AS (SELECT *, lag(s) OVER (PARTITION BY symbol, fold ORDER BY bar_close) AS q FROM tr),
+       p AS (SELECT fold, avg(a) FILTER (WHERE s = 0) AS ma0, avg(rv) FILTER (WHERE s = 0) AS mr0, var_pop(a) FILTER (WHERE s = 0) AS va0, var_pop(rv) FILTER (WHERE s = 0) AS vr0,
+               avg(a) FILTER (WHERE s = 1) AS ma1, avg(rv) FILTER (WHERE s = 1) AS mr1, var_pop(a) FILTER (WHERE s = 1) AS va1, var_pop(rv) FILTER (WHERE s = 1) AS vr1,
+               (count(*) FILTER (WHERE q = 0 AND s = 1) + 1) / (count(*) FILTER (WHERE q = 0) + 2)::DOUBLE AS up,
+               (count(*) FILTER (WHERE q = 1 AND s = 1) + 1) / (count(*) FILTER (WHERE q = 1) + 2)::DOUBLE AS stay FROM l GROUP BY 1 HAVING count(*) >= 200),
+       lik AS (SELECT symbol, fold, bar_close, row_number() OVER (PARTITION BY symbol, fold ORDER BY bar_close) AS rn, up, stay,
+               -0.5 * ((a - ma0) ** 2 / va0 + ln(va0) + (rv - mr0) ** 2 / vr0 + ln(vr0)) AS l0, -0.5 * ((a - ma1) ** 2 / va1 + ln(va1) + (rv - mr1) ** 2 / vr1 + ln(vr1)) AS l1
+               FROM x JOIN p USING (fold) WHERE ok),
+       e AS MATERIALIZED (SELECT symbol, fold, bar_close, rn, up, stay, exp(l0 - greatest(l0, l1)) AS e0, exp(l1 - greatest(l0, l1)) AS e1 FROM lik),
+       f AS (SELECT symbol, fold, rn, e1 / (e0 + e1) AS p1 FROM e WHERE rn = 1
+         UNION ALL SELECT e.symbol, e.fold, e.rn, e1 * ((1 - p1) * up + p1 * stay) / (e0 * ((1 - p1) * (1 - up) + p1 * (1 - stay)) + e1 * ((1 - p1) * up + p1 * stay))
+         FROM f JOIN e ON e.symbol = f.symbol AND e.fold = f.fold AND e.rn = f.rn + 1)
+       SELECT x.symbol, x.fold, x.bar_close, round(coalesce(p1, 0.5), 6) AS p_high_vol FROM x LEFT JOIN (SELECT symbol, fold, bar_close, p1 FROM e JOIN f USING (symbol, fold, rn)) g
+         ON x.symbol = g.symbol AND x.fold = g.fold AND x.bar_close = g.bar_close""",
+    "folded rv60",
+)
+def vol_state_filter(t: Tables):
+    """The same filter with the chain's starting parameters (states split at the mean volatility, moves counted)."""
+    out = G.volatility_posterior(volatility_rows(t), fold="fold", key=DAILY, train=C("role") == "train", ret="ret", rv="rv", out="p_high_vol", turns=0)
+    return out.select("symbol", "fold", "bar_close", rnd(C("p_high_vol")).alias("p_high_vol"))
+
+
 view(
     "datr",
     f"""WITH l AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS c1 FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY bar_close)),
