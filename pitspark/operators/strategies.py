@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.functions.mathfn import clip, ratio
+from pitspark.operators import boosting
 from pitspark.operators import rolling as R
 from pitspark.operators.asof import asof_join
 from pitspark.operators.chunked import POS, Ewm, Running, SeriesKey, ewm_block, over_rows, running, with_ewm
@@ -133,25 +134,16 @@ def run_strategies(df: DataFrame, key: SeriesKey, strategies: Mapping[str, Strat
 
 
 def tree_positions(
-    df: DataFrame, *, features: list[str], label: str, train: Column, out: str = POSITION, trees: int = 500, depth: int = 6, seed: int = 11
+    df: DataFrame, *, features: list[str], label: str, train: Column, out: str = POSITION, trees: int = 100, depth: int = 6, rate: float = 0.05
 ) -> DataFrame:
-    """Three-class random forest on features; predicted class - 1 for every row.
-    A missing feature is a value below all others. Zeros when the training rows
-    hold fewer than two classes. (The trees are bagged, not boosted: boosting
-    here has two classes only.)"""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = {f: f"__f{i}" for i, f in enumerate(features)}
-    rows = df.withColumns({new: F.coalesce(C(old).cast("double"), F.lit(MISSING)) for old, new in filled.items()})
-    vec = VectorAssembler(inputCols=list(filled.values()), outputCol="__x").transform(rows)
-    fit_rows = vec.filter(train & C(label).isNotNull()).withColumn("__y", C(label).cast("double"))
-    if fit_rows.select("__y").distinct().limit(2).count() < 2:
+    """Boosted three-class trees on features; predicted class - 1 for every row.
+    ``trees`` is the number of rounds. A missing feature is below all others.
+    Zeros when the training rows hold fewer than two classes."""
+    fit_rows = df.filter(train & C(label).isNotNull())
+    if fit_rows.select(label).distinct().limit(2).count() < 2:
         return df.withColumn(out, F.lit(0.0))
-    model = RandomForestClassifier(
-        featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed
-    ).fit(fit_rows)
-    return model.transform(vec).withColumn(out, C("__p") - 1.0).select(*df.columns, out)
+    model = boosting.fit(fit_rows, features, C(label), rounds=trees, depth=depth, rate=rate)
+    return boosting.with_class(df, features, model, out).withColumn(out, C(out) - 1.0)
 
 
 def linear_positions(

@@ -130,9 +130,9 @@ FEATURES = ["f_ret1", "f_ret4", "f_vol8", "f_z20"]
 
 @query("pos_tree")
 def pos_tree(t: Tables):
-    """Random-forest class minus one."""
+    """Class of boosted trees minus one."""
     rows = materialise(model_rows(t))
-    out = ST.tree_positions(rows, features=FEATURES, label="label", train=C("is_train"))
+    out = ST.tree_positions(rows, features=FEATURES, label="label", train=C("is_train"), trees=20, depth=3, rate=0.1)
     return out.select("symbol", "bar_close", "position")
 
 
