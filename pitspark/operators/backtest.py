@@ -225,11 +225,11 @@ def promotion_gates(results: DataFrame, *, model: str, fold: Sequence[str], marg
 
 
 def trade_stats(df: DataFrame, by: Sequence[str], bars_per_year: int = BARS_PER_YEAR) -> DataFrame:
-    """Turnover (annualised), number of trades and compounded return."""
+    """Turnover (annualised), number of trades and compounded return of log returns."""
     return df.groupBy(*by).agg(
         (F.sum("delta") * bars_per_year / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("turnover"),
         F.count_if(C("delta") != 0).alias("trade_count"),
-        (F.exp(F.sum(F.log1p("pnl"))) - 1).alias("total_return"),
+        F.expm1(F.sum("pnl")).alias("total_return"),
     )
 
 

@@ -275,14 +275,14 @@ def report_by_fold(t: Tables):
 @query(
     "trade_stats",
     """SELECT strategy, symbol, fold, round(sum(delta) * 3276 / count(*), 6) AS turnover, count(*) FILTER (WHERE delta <> 0) AS trade_count,
-              round(exp(sum(ln(1 + pnl_s))) - 1, 6) + 0.0 AS total_return FROM (SELECT *, pnl / 100 AS pnl_s FROM testcurve WHERE multiplier = 1.0 AND bucket = 'both') GROUP BY 1, 2, 3""",
+              round(exp(sum(pnl)) - 1, 3) + 0.0 AS total_return FROM testcurve WHERE multiplier = 1.0 AND bucket = 'both' GROUP BY 1, 2, 3""",
     "testcurve",
 )
 def trade_stats(t: Tables):
-    """Turnover, trades and compounded return (at one percent leverage)."""
-    out = B.backtest(strategy_rows(t), RUN_KEY).withColumn("pnl", C("pnl") / 100)
+    """Turnover, trades and compounded return."""
+    out = B.backtest(strategy_rows(t), RUN_KEY)
     s = B.trade_stats(out, RUN_KEY.by)
-    return s.select(*RUN_KEY.by, rnd(C("turnover")).alias("turnover"), "trade_count", rnd(C("total_return")).alias("total_return"))
+    return s.select(*RUN_KEY.by, rnd(C("turnover")).alias("turnover"), "trade_count", rnd(C("total_return"), 3).alias("total_return"))
 
 
 @query("sharpe_bootstrap")

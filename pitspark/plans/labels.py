@@ -105,7 +105,7 @@ def proxy_spread():
 @query(
     "spread_proxy",
     """WITH q AS (SELECT symbol, ts, event_id, avg(price / 5) OVER (PARTITION BY symbol ORDER BY ts
-                  RANGE BETWEEN INTERVAL '4 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW) AS s FROM ticks WHERE symbol IN ('view', 'click')),
+                  RANGE BETWEEN INTERVAL '4 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW) AS s FROM ticks),
        u AS (SELECT symbol, ts, arg_max(s, event_id) AS s FROM q GROUP BY 1, 2)
        SELECT b.symbol, b.bar_close, round(least(greatest(coalesce(u.s, (high - low) / nullif(close, 0) * 10000.0 * 0.2), 0), 200), 6)::DOUBLE AS spread_bps
        FROM bars b ASOF LEFT JOIN u ON b.symbol = u.symbol AND b.bar_close > u.ts""",
@@ -114,12 +114,11 @@ def proxy_spread():
 def spread_proxy(t: Tables):
     """Five-minute mean quote spread before the bar, else a range proxy."""
     key = SeriesKey(("symbol",), "ts", ("event_id",), DAY)
-    quotes = t.ticks.filter(C("symbol").isin("view", "click"))
 
     def compute(d, w):
         return d.withColumn("s", F.avg(C("price") / 5).over(w.rangeBetween(-(300_000_000 - 1), 0)))
 
-    smooth = over_time(quotes, key, compute, seconds=300)
+    smooth = over_time(t.ticks, key, compute, seconds=300)
     j = asof_join(
         t.bars.select("symbol", "bar_close", "high", "low", "close"),
         smooth,

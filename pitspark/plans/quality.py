@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from pitspark.functions.timefn import shift_seconds
 from pitspark.operators import quality as Q
-from pitspark.operators.chunked import SeriesKey
+from pitspark.operators import rolling as R
+from pitspark.operators.chunked import Ewm, SeriesKey, over_rows, with_ewm
+from pitspark.operators.leaks import prefix_changes
 from pitspark.plans.registry import query
 from pitspark.sources.contracts import Contract, value_violations
-from pitspark.sources.views import HOUR, Tables
+from pitspark.sources.views import BAR, HOUR, Tables
 
 C = F.col
 
@@ -124,3 +128,34 @@ def non_monotonic(t: Tables):
     # Chunks run along the arrival order, here the event value.
     out = Q.non_monotonic(e, key, "ts", chunk=F.floor(C("value") / 50))
     return out.select("symbol", "event_id", "ts", "prev_ts")
+
+
+CUTS = (dt.datetime(2024, 1, 8, 12), dt.datetime(2024, 1, 15, 7), dt.datetime(2024, 1, 22, 23))
+
+
+@query(
+    "prefix_stability",
+    """WITH c AS (SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-08 12:00:00'), (2, TIMESTAMP '2024-01-15 07:00:00'), (3, TIMESTAMP '2024-01-22 23:00:00')) v(no, cut)),
+       g AS (SELECT 0 AS no, symbol, bar_close, close FROM bars UNION ALL SELECT no, symbol, bar_close, close FROM bars JOIN c ON bar_close <= cut),
+       n AS (SELECT no, symbol, bar_close, close - lag(close) OVER w AS change_1, avg(close) OVER (w ROWS 19 PRECEDING) AS mean_20, stddev_samp(close) OVER (w ROWS 7 PRECEDING) AS std_8,
+               max(close) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS high_20, lead(close) OVER w - close AS next_change FROM g WINDOW w AS (PARTITION BY no, symbol ORDER BY bar_close)),
+       u AS (SELECT no, symbol, bar_close, unnest(['change_1', 'mean_20', 'std_8', 'high_20', 'ewm_14', 'next_change']) AS value, unnest([change_1, mean_20, std_8, high_20, 0, next_change]) AS v FROM n)
+       SELECT p.value, c.cut, count(*) AS n_rows, count(*) FILTER (WHERE round(p.v, 6) IS DISTINCT FROM round(w.v, 6)) AS n_changed
+       FROM u p JOIN u w ON w.no = 0 AND p.symbol = w.symbol AND p.bar_close = w.bar_close AND p.value = w.value JOIN c ON p.no = c.no GROUP BY 1, 2""",
+    "bars",
+)
+def prefix_stability(t: Tables):
+    """Leak check: five windowed values that never change when the future goes, and one (the next change) that does."""
+
+    def op(df, key):
+        def compute(d, w):
+            x = C("close")
+            d = with_ewm(d, w, {"ewm_14": Ewm(x, 1 / 14)})
+            return d.withColumns(
+                {"change_1": R.diff(x, 1, w), "mean_20": R.mean(x, 20, 20, w), "std_8": R.std(x, 8, 8, w), "high_20": R.channel(x, x, 20, w)[0], "next_change": F.lead(x).over(w) - x}
+            )
+
+        return over_rows(df, key, compute, lookback=20, lookahead=1)
+
+    values = ["change_1", "mean_20", "std_8", "high_20", "ewm_14", "next_change"]
+    return prefix_changes(t.bars.select("symbol", "bar_close", "close"), BAR, CUTS, op, values, places=6)
