@@ -12,6 +12,7 @@ from pitspark.operators.intervals import per_bar
 from pitspark.operators.labels import calendar_split, fixed_label
 from pitspark.operators.ranks import exact_quantiles
 from pitspark.operators.versions import as_known_at, latest_by
+from pitspark.operators.vintages import as_known_at_rows
 from pitspark.plans.registry import query, view
 from pitspark.plans.scalars import feature_names
 from pitspark.plans.sources import TEST_THEMES
@@ -54,6 +55,24 @@ def vintage_as_of(t: Tables):
     return known.select("series_id", "date", "realtime_start", "value")
 
 
+@query(
+    "vintages_at_bars",
+    """WITH m AS (SELECT b.symbol, b.bar_close, max(v.date) AS obs FROM daily b LEFT JOIN vintages v ON v.series_id = b.symbol AND v.realtime_start <= b.bar_close GROUP BY 1, 2),
+       p AS (SELECT series_id, date, lag(date) OVER (PARTITION BY series_id ORDER BY date) AS prev FROM (SELECT DISTINCT series_id, date FROM vintages)),
+       d AS (SELECT m.*, p.prev FROM m LEFT JOIN p ON p.series_id = m.symbol AND p.date = m.obs)
+       SELECT d.symbol, d.bar_close, any_value(d.obs) AS obs_0, round(arg_max(a.value, a.realtime_start), 6) AS value_0, any_value(d.prev) AS obs_1, round(any_value(b.value), 6) AS value_1
+       FROM d LEFT JOIN vintages a ON a.series_id = d.symbol AND a.date = d.obs AND a.realtime_start <= d.bar_close
+       LEFT JOIN (SELECT d.symbol, d.bar_close, arg_max(v.value, v.realtime_start) AS value FROM d JOIN vintages v ON v.series_id = d.symbol AND v.date = d.prev AND v.realtime_start <= d.bar_close GROUP BY 1, 2) b
+         ON b.symbol = d.symbol AND b.bar_close = d.bar_close GROUP BY 1, 2""",
+    "daily vintages",
+)
+def vintages_at_bars(t: Tables):
+    """At every daily bar, the latest observation of its series and the one before it, both as known then."""
+    series = t.vintages.select(C("series_id").alias("symbol"), "date", "realtime_start", "value")
+    out = as_known_at_rows(t.daily.select("symbol", "bar_close"), series, left_time="bar_close", by=["symbol"], lags=(0, 1))
+    return out.select("symbol", "bar_close", "obs_0", rnd(C("value_0")).alias("value_0"), "obs_1", rnd(C("value_1")).alias("value_1"))
+
+
 @query(
     "latest_snapshot",
     """SELECT l_partkey, l_linenumber, max(l_shipdate) AS fetch_ts, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_suppkey, l_extendedprice)) AS value
