@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitspark.llm.common import keyed_texts, stored, table
+from pitspark.llm.common import drop_stored, keyed_texts, stored, stored_at, table
 
 Q, DEPTH = 20, 50
 PIECE = 1 << 20
@@ -407,18 +407,22 @@ def cut_spans(texts: DataFrame, batch_bytes: int = 4 << 20, lane_names: int = 40
     per_batch = max(1, batch_bytes * max(1, rows) // max(1, size))
     lanes = max(1, size // (16 * lane_names))
     keyed = texts.select(F.shiftright("rid", per_batch.bit_length() - 1).alias("batch"), "rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("data"))
-    grams = stored(keyed.select("batch", "data").mapInArrow(_gram_rows(lanes), _SENT).groupBy("lane").applyInArrow(_shared_grams, _ANSWER))
-    runs = stored(keyed.groupBy("batch").cogroup(grams.groupBy("batch")).applyInArrow(_shared_runs, _RUN))
-    whole = stored(runs.mapInArrow(_stretch_rows(lanes), _SENT).groupBy("lane").applyInArrow(_refined, _ANSWER))
+    grams, at_grams = stored_at(keyed.select("batch", "data").mapInArrow(_gram_rows(lanes), _SENT).groupBy("lane").applyInArrow(_shared_grams, _ANSWER))
+    runs, at_runs = stored_at(keyed.groupBy("batch").cogroup(grams.groupBy("batch")).applyInArrow(_shared_runs, _RUN))
+    drop_stored(texts.sparkSession, at_grams)
+    whole, at_whole = stored_at(runs.mapInArrow(_stretch_rows(lanes), _SENT).groupBy("lane").applyInArrow(_refined, _ANSWER))
     single = runs.groupBy("batch").cogroup(whole.groupBy("batch")).applyInArrow(_window_rows(lanes), _SENT)
-    single = stored(single.groupBy("lane").applyInArrow(_equal_windows, _ANSWER))
-    return runs.groupBy("batch").cogroup(whole.unionByName(single).groupBy("batch")).applyInArrow(_cuts, _CUT)
+    single, at_single = stored_at(single.groupBy("lane").applyInArrow(_equal_windows, _ANSWER))
+    cuts = stored(runs.groupBy("batch").cogroup(whole.unionByName(single).groupBy("batch")).applyInArrow(_cuts, _CUT))
+    for at in (at_runs, at_whole, at_single):
+        drop_stored(texts.sparkSession, at)
+    return cuts
 
 
 def strip(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """For each row: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, and, if asked for, the bytes that are left."""
     texts = keyed_texts(docs)
-    cuts = stored(cut_spans(texts))
+    cuts = cut_spans(texts)
     fields = [T.StructField("rid", T.LongType()), docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_text else []))
 
