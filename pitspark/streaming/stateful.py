@@ -3,19 +3,20 @@
 Rows may arrive out of order inside and across micro-batches. They wait in the
 state until the watermark has passed them and are then applied in time order;
 the state between batches is the recursion state plus the rows still waiting,
-so its size is bounded by the lateness allowance.
+so its size is bounded by the lateness allowance (``eventtime``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pitspark.functions.timefn import micros
 from pitspark.operators.sequential import (
     A_MAX,
     A_MIN,
@@ -31,9 +32,7 @@ from pitspark.operators.sequential import (
     step_alphas,
     step_weights,
 )
-
-STATE = "wait_ts array<long>, wait_x array<double>, core array<double>"
-
+from pitspark.streaming.eventtime import RecursionState, use_rocksdb
 
 class _Recursion:
     """A recursion with a flat double state: ``start()`` and ``step()``."""
@@ -41,7 +40,7 @@ class _Recursion:
     def start(self) -> list[float]:
         raise NotImplementedError
 
-    def step(self, core: list[float], x: float) -> tuple[list[float], float]:
+    def step(self, core: list[float], *xs: float) -> tuple[list[float], float | tuple[float, ...]]:
         raise NotImplementedError
 
 
@@ -108,41 +107,70 @@ class TrailingStop(_Recursion):
         return [entry, best, bars, closed], closed
 
 
-def run_recursion(stream: DataFrame, recursion: _Recursion, *, key: str, time: str, value: str, out: str, lateness: str) -> DataFrame:
-    """Apply a recursion per key in event-time order: (key, time, value, out).
+@dataclass(frozen=True)
+class TwoSidedStop(_Recursion):
+    """Stop level and exit flag per bar of a long (side +1) or short (-1) trade.
+
+    Values: price, live range (missing: the one at entry), entry price, range at
+    entry, side. The hard stop keeps the entry's range, the trailing stop
+    follows the best price with the live range once the trade has been ahead.
+    The flag also rises at the holding limit; ``latch`` keeps it up.
+    """
+
+    hard: float = 2.0
+    trail: float = 1.5
+    max_bars: int = 390
+    latch: bool = False
+
+    def start(self) -> list[float]:
+        return [float("nan"), 0.0, 0.0]  # best, bars, closed
+
+    def step(
+        self, core: list[float], price: float, live: float | None, entry: float, entry_range: float, side: float
+    ) -> tuple[list[float], tuple[float, float]]:
+        best, bars, closed = core
+        sign = 1.0 if side > 0 else -1.0
+        width = entry_range if live is None or np.isnan(live) else live
+        ahead = max(sign * price, sign * entry, sign * (entry if np.isnan(best) else best))
+        stop = sign * entry - self.hard * entry_range
+        if ahead > sign * entry:
+            stop = max(stop, ahead - self.trail * width)
+        out = bool(sign * price < stop) or bars + 1 >= self.max_bars or (self.latch and bool(closed))
+        return [sign * ahead, bars + 1, float(out)], (sign * stop, float(out))
+
+
+def run_recursion(
+    stream: DataFrame,
+    recursion: _Recursion,
+    *,
+    key: str,
+    time: str,
+    value: str | Sequence[str],
+    out: str | Sequence[str],
+    lateness: str,
+    initial: DataFrame | None = None,
+    idle_seconds: int | None = None,
+) -> DataFrame:
+    """Apply a recursion per key in event-time order: (key, time, values, out).
 
     ``time`` must be a timestamp with the session zone set to UTC. A row is
-    emitted once the watermark has passed it.
+    emitted once the watermark has passed it; a row without a time comes out at
+    once with a NULL result. ``initial`` (key, core array<double>) starts keys
+    from the state a batch job ended with. ``idle_seconds`` of event time
+    without a row forget a key, which then starts anew.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-    src = stream.select(key, time, value).withWatermark(time, lateness)
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, xs, core = state.get if state.exists else ([], [], recursion.start())
-        ts, xs, core = list(ts), list(xs), list(core)
-        for pdf in frames:
-            stamps = pd.to_datetime(pdf[time], utc=True)
-            ts += stamps.astype("datetime64[us, UTC]").astype("int64").tolist()
-            xs += pdf[value].astype(float).tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        order = np.argsort(np.asarray(ts, dtype=np.int64), kind="stable")
-        ready = [i for i in order if ts[i] < mark]
-        waiting = [i for i in order if ts[i] >= mark]
-        rows = []
-        for i in ready:
-            core, y = recursion.step(core, xs[i])
-            rows.append((k[0], ts[i], xs[i], y))
-        state.update(([ts[i] for i in waiting], [xs[i] for i in waiting], core))
-        if waiting:
-            state.setTimeoutTimestamp(max(ts[waiting[0]] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        done = pd.DataFrame(rows, columns=[key, "__us", value, out])
-        done.insert(1, time, pd.to_datetime(done.pop("__us"), unit="us", utc=True))
-        yield done
-
-    return src.groupBy(key).applyInPandasWithState(
-        update,
-        f"{key} {key_type}, {time} timestamp, {value} double, {out} double",
-        STATE,
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    use_rocksdb(stream.sparkSession)
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
+    src = stream.select(key, time, micros(F.col(time)).alias("us"), F.array(*[F.col(v).cast("double") for v in values]).alias("x"))
+    start = None if initial is None else initial.select(key, "core").groupBy(key)
+    fields = [T.StructField(key, stream.schema[key].dataType), T.StructField(time, T.LongType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in [*values, *outs]]
+    done = (
+        src.withWatermark(time, lateness)
+        .groupBy(key)
+        .transformWithState(
+            RecursionState(recursion, key, time, values, outs, idle_seconds), T.StructType(fields), "append", "EventTime", start
+        )
     )
+    return done.select(key, F.timestamp_micros(time).alias(time), *values, *outs)
