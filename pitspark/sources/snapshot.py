@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitspark.sources.integrity import file_ranges, tree_manifest, verify_manifest  # noqa: F401
+
 
 def _portable(field: T.StructField) -> Column:
     """Text form of a value that other engines can reproduce."""
@@ -64,36 +68,112 @@ def write_snapshot(df: DataFrame, root: str, version: str, *, time: str, overwri
     return path
 
 
-def publish(df: DataFrame, root: str, version: str) -> None:
-    """Make a new version current: write it completely, then move the pointer.
-
-    Readers follow the pointer table, so a failed write never becomes visible.
+class PublishConflict(RuntimeError):
+    """Another writer has moved the pointer since this one has read it."""
+
+
+def _fs(spark: SparkSession, path: str):
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark._jsc.hadoopConfiguration()), hp
+
+
+def _create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole content, or return False where it exists:
+    a temporary file is renamed without overwriting, in one step. On a local
+    disk, where a rename replaces, the step is a hard link."""
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, where = _fs(spark, tmp)
+    out = fs.create(where, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(where.toUri().getPath(), _fs(spark, path)[1].toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        jvm = spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+        plain = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(where, jvm.org.apache.hadoop.fs.Path(path), plain)
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+    finally:
+        fs.delete(where, False)
+
+
+def pointer(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """(number, version) of the newest pointer; (0, None) before the first."""
+    fs, where = _fs(spark, f"{root}/_current")
+    if not fs.exists(where):
+        return 0, None
+    found = [s.getPath() for s in fs.listStatus(where)]
+    found = [p for p in found if p.getName().isdigit()]
+    if not found:
+        return 0, None
+    last = max(found, key=lambda p: int(p.getName()))
+    stream = fs.open(last)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return int(last.getName()), text
+
+
+def _move_pointer(spark: SparkSession, root: str, base: int, version: str) -> int:
+    fs, where = _fs(spark, f"{root}/_current")
+    fs.mkdirs(where)
+    if pointer(spark, root)[0] != base or not _create_once(spark, f"{root}/_current/{base + 1:012d}", version):
+        raise PublishConflict(f"{root}: the pointer has moved on from {base}")
+    return base + 1
+
+
+def publish(df: DataFrame, root: str, version: str, *, base: int | None = None) -> int:
+    """Make a new version current: write it completely, then move the pointer
+    from ``base`` (default: where it stands now) to the next number.
+
+    The pointer is a row of numbered files, each created once; of two writers
+    that start from the same number one gets a ``PublishConflict``. After a
+    failed write or a lost race the pointer stands and the new folder is removed.
     """
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/{version}")
     spark = df.sparkSession
-    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
-    row.write.mode("append").parquet(f"{root}/_current")
+    if base is None:
+        base = pointer(spark, root)[0]
+    path = f"{root}/{version}"
+    fs, where = _fs(spark, path)
+    if fs.exists(where):
+        raise FileExistsError(f"version exists: {path}")
+    try:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        return _move_pointer(spark, root, base, version)
+    except Exception:
+        fs.delete(where, True)
+        raise
+
+
+def roll_back(spark: SparkSession, root: str, *, to: int) -> int:
+    """Make the version of an earlier pointer current again, as a new pointer."""
+    fs, where = _fs(spark, f"{root}/_current/{to:012d}")
+    stream = fs.open(where)
+    try:
+        version = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return _move_pointer(spark, root, pointer(spark, root)[0], version)
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    pointer = spark.read.parquet(f"{root}/_current")
-    version = pointer.agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).first()["v"]
+    version = pointer(spark, root)[1]
+    if version is None:
+        raise FileNotFoundError(f"nothing is published under {root}")
     return spark.read.parquet(f"{root}/{version}")
 
 
 def integrity_manifest(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, size, sha256) of files; each file is hashed by one task."""
-    files = spark.read.format("binaryFile").load(glob)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
-def verify_manifest(declared: DataFrame, actual: DataFrame) -> DataFrame:
-    """Files that are missing, unexpected or changed; empty means intact."""
-    d = declared.select("path", F.col("size").alias("want_size"), F.col("sha256").alias("want"))
-    j = d.join(actual, "path", "outer")
-    state = (
-        F.when(F.col("sha256").isNull(), "missing")
-        .when(F.col("want").isNull(), "unexpected")
-        .when((F.col("sha256") != F.col("want")) | (F.col("size") != F.col("want_size")), "changed")
-    )
-    return j.select("path", state.alias("state")).filter(F.col("state").isNotNull())
+    """(path, size, n_blocks, sha256) of files of any size, see ``integrity``."""
+    return tree_manifest(file_ranges(spark, glob))

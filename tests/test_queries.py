@@ -34,5 +34,5 @@ def test_query(spark, con, name):
 def test_every_query_has_a_check_or_a_reason():
     rows_only = set(catalogue.QUERIES) - set(catalogue.ORACLES)
     assert rows_only == {
-        "calibration_report", "group_ablation", "permutation_importance", "pos_linear", "pos_tree", "sharpe_bootstrap", "vol_state_posterior",
+        "calibration_report", "file_integrity", "group_ablation", "permutation_importance", "pos_linear", "pos_tree", "sharpe_bootstrap", "vol_state_posterior",
     }
