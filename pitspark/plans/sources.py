@@ -10,7 +10,7 @@ from pitspark.functions.mathfn import rnd
 from pitspark.functions.visibility import next_open
 from pitspark.operators.versions import keep_first
 from pitspark.plans.registry import query
-from pitspark.sources import ingest, snapshot
+from pitspark.sources import cursor, ingest, snapshot
 from pitspark.sources.views import Tables
 
 C = F.col
@@ -281,3 +281,10 @@ def file_integrity(t: Tables):
     """Hash tree of every file of the tables, read in byte ranges (no SQL reads raw bytes)."""
     files = snapshot.integrity_manifest(t.spark, t.path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "n_blocks", "sha256")
+
+
+@query("cursor_ingest", "SELECT event_id, ts, event_type, value FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL")
+def cursor_ingest(t: Tables):
+    """All ticks through the cursor source: a task a day, page by page in (time, id) order."""
+    args = {"path": f"{t.path}/events.parquet", "time": "ts", "id": "event_id", "columns": ["event_type", "value"]}
+    return cursor.read_feed(t.spark, cursor.TableFeed, args).select("event_id", "ts", "event_type", "value")

@@ -14,7 +14,7 @@ SAMPLE = (
     "rolling_z", "atr_14", "macd_signal", "time_rolling_mean", "yoy_mom", "table_fingerprint", "html_articles", "source_preference",
     "validate_nulls", "vis_next_session", "event_calendar", "feature_category", "latest_revision", "tercile_thresholds",
     "walk_forward_folds", "label_triple_barrier", "pos_donchian", "metrics_bundle", "raps_quantile", "adaptive_ece", "sizer",
-    "bar_anchor_stats", "v2_variance_ratio_8",
+    "bar_anchor_stats", "v2_variance_ratio_8", "cursor_ingest",
 )
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
