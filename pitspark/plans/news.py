@@ -86,3 +86,17 @@ def anchor_cohesion(t: Tables):
     out = V.cohesion(t.vectors, t.anchors, by="label", vec="vec")
     num = ("mean_pairwise", "min_to_anchor", "pair_floor")
     return out.select("label", "n", *[rnd(C(c)).alias(c) for c in num])
+
+
+@query(
+    "anchor_min_pairwise",
+    """WITH v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS e FROM embeddings),
+       u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
+       m AS (SELECT a.label, min(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)))) AS c
+             FROM u a JOIN u b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id < b.vec_id GROUP BY 1)
+       SELECT u.label, count(*) AS n, round(any_value(m.c), 6) AS min_pairwise FROM u LEFT JOIN m ON m.label IS NOT DISTINCT FROM u.label GROUP BY u.label""",
+)
+def anchor_min_pairwise(t: Tables):
+    """Exact smallest cosine inside each class, by pivot bounds over blocks."""
+    out = V.min_pairwise(t.vectors, t.anchors, by="label", id="article_id", vec="vec")
+    return out.select("label", "n", rnd(C("min_pairwise")).alias("min_pairwise"))
