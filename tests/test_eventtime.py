@@ -74,13 +74,13 @@ def test_stream_asof_tolerance_and_late_release(spark, tmp_path):
     assert got == {5: 1.0, 10: 1.0, 30: 2.0, 90: None}
 
 
-def test_state_is_bounded_by_lateness(spark, tmp_path):
+def test_rows_leave_once_the_watermark_has_passed(spark, tmp_path):
     batches = [[("A", T0 + MIN * (60 * b + i), 60 * b + i) for i in range(60)] for b in range(8)]
     left, right = _streams(spark, tmp_path, batches, [[("A", T0, 1, 1.0)]] * 8)
     right = right.withColumnRenamed("sym", "symbol")
     out = stream_asof(left, right, left_time="ts", right_time="rel", columns=["v"], by=["symbol"], strict=True, lateness="20 minutes")
     drain(out, tmp_path, "asof_state")
-    # All but the rows of the last twenty minutes have left the state.
+    # All but the rows of the last twenty minutes have come out.
     done = sorted(r.n for r in spark.table("asof_state").collect())
     assert done == list(range(8 * 60 - 1 - 20))
 
