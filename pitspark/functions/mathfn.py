@@ -1,5 +1,5 @@
 """Null-safe numeric expressions. NaN never enters the engine: divisions by
-zero, logs of non-positive values and infinities become NULL."""
+zero, logs of non-positive values and infinities become NULL (but see ``full_ln``)."""
 
 from __future__ import annotations
 
@@ -33,6 +33,12 @@ def safe_ln(c: Column) -> Column:
     return F.when(c > 0, F.ln(c.cast("double")))
 
 
+def full_ln(c: Column) -> Column:
+    """Logarithm of every double: -inf for zero, NaN below; NULL for NULL alone."""
+    d = c.cast("double")
+    return F.when(d > 0, F.ln(d)).when(d == 0, F.lit(float("-inf"))).when(d < 0, F.lit(float("nan")))
+
+
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """Bound a value and keep NULL as NULL (least/greatest skip nulls)."""
     out = c
