@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from pitspark.session import materialise
 
 C = F.col
 CostModel = Callable[[Column], Column]
+# Draws of the bootstrap in a task, and rows of a table of prefix sums that is broadcast.
+TASK_DRAWS, SMALL_TABLE = 250_000, 200_000
 METRICS = ("sharpe", "sortino", "calmar", "max_drawdown", "hit_rate", "profit_factor", "expectancy")
 
 
@@ -248,13 +253,15 @@ def bootstrap_sharpe(
 
     A replicate is a list of blocks (random start, geometric length); a block's
     sum and sum of squares are differences of prefix sums, looked up by row
-    number. So the job moves replicates x blocks rows, never resampled returns,
-    and draws come from seeded hashes, so a retried task repeats them.
+    number. Draws come from seeded hashes, so a retried task repeats them.
+
+    A replicate's draws are one row of two arrays, spread over tasks of about
+    ``TASK_DRAWS`` draws, and are cut to the length of the series where they lie.
+    Prefix sums of at most ``SMALL_TABLE`` rows in all go to the draws, larger
+    tables meet them in a shuffle: replicates x blocks rows, never resampled returns.
     """
     by = list(key.by)
-    pos = row_positions(df, key, pos="__i")
-    pre = running(pos, key, [Running("__s1", "sum", C(pnl_col)), Running("__s2", "sum", C(pnl_col) * C(pnl_col))])
-    table = pre.select(*by, "__i", "__s1", "__s2")
+    series = F.struct(*by).alias("__series")  # null keys are equal inside a struct
     size = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(pnl_col).alias("__t1"), F.sum(C(pnl_col) * C(pnl_col)).alias("__t2")
     )
@@ -262,45 +269,57 @@ def bootstrap_sharpe(
     size = size.withColumn("__len", mean_len)
     expected = C("__n") / C("__len")
     # Enough draws that a replicate falls short of its length once in 1e12.
-    n_blocks = F.ceil(expected + 8 * F.sqrt(expected) + 16).cast("int")
+    size = size.withColumn("__blocks", F.ceil(expected + 8 * F.sqrt(expected) + 16).cast("int"))
+    size = materialise(size.withColumn("__id", F.monotonically_increasing_id()))
+    n_rows, n_draws = size.agg(F.sum("__n"), F.sum(C("__blocks").cast("long")) * replicates).first()
+
+    pos = row_positions(df, key, pos="__i")
+    pre = running(pos, key, [Running("__s1", "sum", C(pnl_col)), Running("__s2", "sum", C(pnl_col) * C(pnl_col))])
+    table = pre.select("*", series).join(size.select(series, "__id"), "__series").select("__id", "__i", "__s1", "__s2")
+
+    def hashed(tag: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), C("__blocks")), lambda k: F.xxhash64(*by, "__b", k, F.lit(tag), F.lit(seed)))
+
     reps = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
-    blocks = reps.select("*", F.explode(F.sequence(F.lit(1), n_blocks)).alias("__k"))
-
-    def uniform(tag: str) -> Column:
-        h = F.xxhash64(*by, "__b", "__k", F.lit(tag), F.lit(seed))
-        return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-    start = F.floor(uniform("start") * C("__n")).cast("long")
-    length = F.when(C("__len") <= 1, F.lit(1)).otherwise(F.ceil(F.ln(uniform("len")) / F.ln(1 - 1 / C("__len"))))
-    w = Window.partitionBy(*by, "__b").orderBy("__k")
-    b = blocks.withColumn("__start", start).withColumn("__want", F.greatest(length, F.lit(1)).cast("long"))
-    b = b.withColumn("__before", F.sum("__want").over(w) - C("__want"))
-    # Blocks are taken until the length is reached.
-    last = C("__k") == n_blocks
-    b = b.withColumn("__take", F.when(last, C("__n") - C("__before")).otherwise(F.least("__want", C("__n") - C("__before"))))
-    b = b.filter(C("__take") > 0)
-    # A block wraps around the end: whole laps plus one circular piece.
-    laps = F.floor((C("__start") + C("__take")) / C("__n"))
-    b = b.withColumn("__laps", laps).withColumn("__end", C("__start") + C("__take") - laps * C("__n"))
-    ends = b.select(
-        *by, "__b", "__n", "__t1", "__t2",
-        F.explode(
-            F.array(
-                F.struct(C("__end").alias("i"), F.lit(1.0).alias("sign"), C("__laps").cast("double").alias("laps")),
-                F.struct(C("__start").alias("i"), F.lit(-1.0).alias("sign"), F.lit(0.0).alias("laps")),
-            )
-        ).alias("e"),
-    ).select("*", C("e.i").alias("__i"), C("e.sign").alias("__sign"), C("e.laps").alias("__laps"))
-    hit = ends.join(table, [*by, "__i"], "left")
-    part = lambda s, t: C("__sign") * F.coalesce(C(s), F.lit(0.0)) + C("__laps") * C(t)
-    stats = hit.groupBy(*by, "__b").agg(
-        F.sum(part("__s1", "__t1")).alias("__m1"), F.sum(part("__s2", "__t2")).alias("__m2"), F.max("__n").alias("__n")
-    )
-    mean = C("__m1") / C("__n")
-    var = F.greatest(C("__m2") / C("__n") - mean * mean, F.lit(0.0))
+    reps = reps.repartition(max(1, -(-(n_draws or 0) // TASK_DRAWS)), "__id", "__b")
+    draws = reps.select("__id", "__b", "__n", "__len", hashed("start").alias("__start"), hashed("len").alias("__want"))
+
+    def block_ends(batches):
+        """Of each replicate's draws, the blocks up to the length of the series: a block is whole laps and the difference of
+        the prefixes at its two ends. Blocks wrap around the end."""
+        for b in batches:
+            many = pc.list_value_length(b.column("__start")).to_numpy().astype(np.int64)
+            row, behind = np.repeat(np.arange(len(b)), many), np.cumsum(many)
+            start, want = ((np.mod(b.column(c).flatten().to_numpy(), 1 << 52) + 0.5) / (1 << 52) for c in ("__start", "__want"))
+            n, mean_len = b.column("__n").to_numpy(), b.column("__len").to_numpy()
+            single = mean_len <= 1
+            decay = np.log(1 - 1 / np.where(single, 2.0, mean_len))
+            want = np.where(single[row], 1.0, np.maximum(np.ceil(np.log(want) / decay[row]), 1.0)).astype(np.int64)
+            start = np.floor(start * n[row]).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(want)))
+            left = n[row] - (upto[:-1] - upto[behind - many][row])
+            take = np.minimum(want, left)
+            take[behind - 1] = left[behind - 1]
+            # Blocks are taken until the length is reached.
+            kept = np.flatnonzero(take > 0)
+            row, start, end = row[kept], start[kept], start[kept] + take[kept]
+            laps = end // n[row]
+            ids, replicate = b.column("__id").to_numpy()[row], b.column("__b").to_numpy()[row]
+            for at, sign, whole in ((end - laps * n[row], 1.0, laps.astype(float)), (start, -1.0, np.zeros(len(row)))):
+                columns = [ids, replicate, at, np.full(len(row), sign), whole]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__id", "__b", "__i", "__sign", "__laps"])
+
+    ends = draws.mapInArrow(block_ends, "__id long, __b int, __i long, __sign double, __laps double")
+    hit = ends.join(F.broadcast(table) if (n_rows or 0) <= SMALL_TABLE else table, ["__id", "__i"], "left")
+    part = lambda s: F.sum(C("__sign") * F.coalesce(C(s), F.lit(0.0)))
+    stats = hit.groupBy("__id", "__b").agg(part("__s1").alias("__p1"), part("__s2").alias("__p2"), F.sum("__laps").alias("__laps"))
+    stats = stats.join(size.select("__id", "__n", "__t1", "__t2"), "__id")
+    mean = (C("__p1") + C("__laps") * C("__t1")) / C("__n")
+    var = F.greatest((C("__p2") + C("__laps") * C("__t2")) / C("__n") - mean * mean, F.lit(0.0))
     sharpe = F.coalesce(ratio(mean, F.sqrt(var)) * math.sqrt(bars_per_year), F.lit(0.0))
     # One row per replicate from here on.
-    sh = materialise(stats.select(*by, sharpe.alias("sharpe")))
+    sh = materialise(stats.select("__id", sharpe.alias("sharpe")))
     tail = (1 - level) / 2
-    q = exact_quantiles(sh, by, "sharpe", {"ci_low": tail, "ci_high": 1 - tail})
-    return sh.groupBy(*by).agg(F.avg("sharpe").alias("mean_sharpe")).join(q, by).drop("n_values")
+    q = exact_quantiles(sh, ["__id"], "sharpe", {"ci_low": tail, "ci_high": 1 - tail})
+    means = sh.groupBy("__id").agg(F.avg("sharpe").alias("mean_sharpe"))
+    return size.select(*by, "__id").join(means, "__id").join(q, "__id").drop("__id", "n_values")

@@ -9,7 +9,6 @@ their own that are split further by the tie-breaker.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pitspark.operators.chunked import Running, SeriesKey, row_positions, running
 
 # Cut points per group; one bin of one group is the most a task ever sorts, so
-# raise ``bins`` with the size of the largest group. Searched in two steps.
+# raise ``bins`` with the size of the largest group.
 BINS = 256
 ALL = "__all"
 
@@ -30,12 +29,9 @@ def _cuts(value: str, bins: int) -> Column:
 
 
 def _below(cuts: Column, v: Column, bins: int) -> Column:
-    """Number of cut points strictly below a value, in two short scans."""
-    step = max(2, math.isqrt(bins))
-    heads = F.filter(cuts, lambda c, i: i % step == 0)
-    block = F.size(F.filter(heads, lambda c: c < v))
-    start = F.greatest(block - 1, F.lit(0)) * step
-    return start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(step)), lambda c: c < v))
+    """Number of cut points strictly below a value, by binary search: each step is taken if the cut it ends at is below."""
+    steps = [F.lit(1 << i) for i in reversed(range(max(1, bins.bit_length())))]
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < v, step).otherwise(F.lit(0)))
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
