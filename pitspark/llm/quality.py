@@ -33,8 +33,28 @@ class Model:
     bias: float
 
 
-def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of one text and the share of each among its features."""
+@dataclass(frozen=True)
+class Bag:
+    """Buckets of one text with the number of features in each, in about three bytes a bucket: the driver holds a bag for each
+    text of the sample at once."""
+
+    low: np.ndarray  # the lower 16 bits of each bucket, ascending
+    above: np.ndarray  # where the next value of the upper bits begins
+    count: np.ndarray
+    total: np.float32
+
+    def buckets(self) -> np.ndarray:
+        at = self.low.astype(np.int64)
+        for begin in self.above:
+            at[begin:] += 1 << 16
+        return at
+
+    def shares(self) -> np.ndarray:
+        """The share of each bucket among the text's features."""
+        return self.count.astype(np.float32) / self.total
+
+
+def _features(text: str) -> Bag:
     count = np.zeros(1 << BITS, dtype=np.float32)
     for block in features.blocks([text]):
         for bucket, outside in features.grams(block, SIZES, BITS):
@@ -43,7 +63,9 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
             count += np.bincount(bucket[keep], minlength=1 << BITS).astype(np.float32)
         count += np.bincount(features.bucket_of(features.words(block)[0], BITS), minlength=1 << BITS).astype(np.float32)
     at = np.flatnonzero(count)
-    return at, count[at] / max(1.0, count.sum())
+    above = np.searchsorted(at, np.arange(1 << 16, 1 << BITS, 1 << 16))
+    least = np.min_scalar_type(int(count.max()))
+    return Bag(at.astype(np.uint16), above, count[at].astype(least), max(np.float32(1), count.sum()))
 
 
 def fit(texts: list[str], classes: np.ndarray, dim: int = 12, epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
@@ -58,7 +80,7 @@ def fit(texts: list[str], classes: np.ndarray, dim: int = 12, epochs: int = 6, r
     steps, step = epochs * len(texts), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
-            at, share = bags[i]
+            at, share = bags[i].buckets(), bags[i].shares()
             pace = 1 - step / steps
             step += 1
             held = vectors[at]
