@@ -1,6 +1,7 @@
 """Exact and near deduplication and substring removal against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -109,6 +110,41 @@ def test_components_of_a_long_path(spark):
     assert {got[x] for x in order} == {min(order)} and got[5001] == got[5000] == 5000
 
 
+def test_few_links_take_few_jobs(spark):
+    """Rounds on few links were more than a hundred small jobs."""
+    n = 300
+    order = [(i * 7919) % 1009 for i in range(n)]
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert components.components(links).count() == n
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 12
+
+
+def test_components_of_many_pieces(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(-500, 3000), rng.randrange(-500, 3000)) for _ in range(1500)] + [(9000 + (i * 77) % 401, 9000 + ((i + 1) * 77) % 401) for i in range(400)]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for pair in links if pair[0] != pair[1] for x in pair}
+    df = spark.createDataFrame(links, "a long, b long")
+    for most in (1 << 18, 100):
+        got = components.components(df, most).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components.components(df.limit(0)).count() == 0
+
+
 def stripped(rows):
     """By brute force: removed bytes of each row."""
     first = {}
