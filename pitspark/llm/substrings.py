@@ -15,7 +15,8 @@ offset, and is used again in the next step: 4 bytes, 8, 16, 20 (the q-gram), 40,
 Documents are worked on in batches of rows that follow one another. A batch sends each identifier once, with its
 smallest doc_id, to the lane that the identifier belongs to; a lane sorts what it gets and answers each batch. So a
 string in a third of all documents costs one entry for each batch, and every batch and lane has a bounded size. Only
-stretches in shared buckets are kept for the later steps.
+stretches in shared buckets are kept for the later steps. A batch sends at most `fan` messages a step: with more lanes, they
+go to ranges of lanes, and a task for a range and a pool of batches deals them on, with one message for a lane and pool.
 
 Defined cases: a null text is empty. Documents below `DEPTH` bytes lose nothing. Rows with one doc_id do not take from
 each other. A null doc_id counts as larger than any other. Different strings get one identifier with a probability of
@@ -139,23 +140,27 @@ def _name(s: Stretches, pick: np.ndarray) -> np.ndarray:
 
 
 def _smallest(names: np.ndarray, docs: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct names in order, with the smallest doc of each and the values that come with it."""
+    """Distinct names in order, with the smallest doc of each, whether other docs have it, and the values that come with it."""
     order = np.lexsort((docs, names))
-    names = names[order]
-    at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
-    return names[at], docs[order][at], *(m[order][at] for m in more)
+    names, docs = names[order], docs[order]
+    at = _changes(names)
+    return names[at], docs[at], docs[at] != docs[np.append(at[1:], len(names)) - 1] if len(at) else np.empty(0, bool), *(m[order][at] for m in more)
 
 
-def _lanes(sorted_names: np.ndarray, lanes: int) -> Iterator[tuple[int, slice]]:
-    edges = np.array([(i << 64) // lanes for i in range(1, lanes)], dtype=np.uint64)
-    cuts = [0, *np.searchsorted(sorted_names, edges).tolist(), len(sorted_names)]
-    for lane, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            yield lane, slice(a, b)
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
 
 
-_SENT = T.StructType([T.StructField("lane", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("more", T.BinaryType()), T.StructField("docs", T.BinaryType())])
-_ANSWER = T.StructType([T.StructField("batch", T.LongType()), T.StructField("step", T.IntegerType()), T.StructField("names", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("shared", T.BinaryType())])
+def _lane_of(names: np.ndarray, lanes: int) -> np.ndarray:
+    """Anchors are the smallest of many identifiers, so lanes are ranges of mixed names, not of names."""
+    x = names * _K2
+    x = (x ^ (x >> np.uint64(31))) * _K1
+    return (((x >> np.uint64(32)) * np.uint64(lanes)) >> np.uint64(32)).astype(np.int32)
+
+
+_SENT = T.StructType([T.StructField("lane", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("more", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("owner", T.BinaryType())])
+_ANSWER = T.StructType([T.StructField("batch", T.LongType()), T.StructField("lane", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("names", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("shared", T.BinaryType()), T.StructField("owner", T.BinaryType())])
 
 
 def _arrow(schema: T.StructType):
@@ -168,18 +173,71 @@ def _rows(rows: list[tuple], schema: T.StructType, kind=pa.RecordBatch):
     return kind.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(s)], schema=s)
 
 
-def _send(batch: int, lanes: int, names: np.ndarray, more: np.ndarray, docs: np.ndarray, by: np.ndarray | None = None) -> list[tuple]:
-    """Rows for the lanes of `by` (the names themselves if none)."""
-    by = names if by is None else by
-    order = np.argsort(by, kind="stable")
-    names, more, docs, by = names[order], more[order], docs[order], by[order]
-    return [(lane, batch, names[s].tobytes(), more[s].tobytes(), docs[s].tobytes()) for lane, s in _lanes(by, lanes)]
+def _send(batch: int, lanes: int, names: np.ndarray, more: np.ndarray, docs: np.ndarray, by: np.ndarray | None = None, width: int = 1, owner: np.ndarray | None = None) -> list[tuple]:
+    """Rows for the lanes, or ranges of `width` lanes, of `by` (the names themselves if none). `owner`: the batch of each name of a pool."""
+    if not len(names):
+        return []
+    lane = _lane_of(names if by is None else by, lanes) // width
+    place = lane - lane.min()
+    order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")  # 16 bits are sorted by radix
+    lane, names, more, docs = lane[order], names[order], more[order], docs[order]
+    at = _changes(lane)
+    cuts = zip(lane[at].tolist(), at.tolist(), [*at[1:].tolist(), len(lane)], strict=True)
+    owner = np.empty(0, np.int64) if owner is None else owner[order]
+    return [(i, batch, names[a:b].tobytes(), more[a:b].tobytes(), docs[a:b].tobytes(), owner[a:b].tobytes()) for i, a, b in cuts]
 
 
 def _column(table: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of a binary column in one, and the row of each value."""
-    parts = [np.frombuffer(x, dtype=dtype) for x in table[name].to_pylist()]
-    return (np.concatenate(parts) if parts else np.empty(0, dtype)), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    """The arrays of a binary column in one, and the length of each."""
+    parts = table[name].to_pylist()
+    return np.frombuffer(b"".join(parts), dtype=dtype), np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(dtype).itemsize
+
+
+def _answer(sent: pa.Table, step: int, keep: np.ndarray, names: np.ndarray, docs: np.ndarray | None = None, shared: np.ndarray | None = None) -> pa.Table:
+    """To each message of a lane, the names of it that `keep` has, with their values. Names lie in the order of the messages."""
+    _, size = _column(sent, "names", np.uint64)
+    owner, _ = _column(sent, "owner", np.int64)
+    kept = np.flatnonzero(keep)
+    cuts = np.searchsorted(kept, np.append(0, np.cumsum(size))).tolist()
+    names, docs, shared, owner = (x[kept] if x is not None and len(x) else np.empty(0, np.uint8) for x in (names, docs, shared, owner))
+    rows = zip(sent["batch"].to_pylist(), sent["lane"].to_pylist(), cuts, cuts[1:], strict=False)
+    return _rows([(batch, lane, step, names[a:b].tobytes(), docs[a:b].tobytes(), shared[a:b].tobytes(), owner[a:b].tobytes()) for batch, lane, a, b in rows if b > a], _ANSWER, pa.Table)
+
+
+def _deal_on(lanes: int, by_more: bool):
+    """Messages of a pool of batches to a range of lanes become one message to each lane."""
+
+    def run(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        names, size = _column(sent, "names", np.uint64)
+        more, _ = _column(sent, "more", np.uint64 if by_more else np.uint8)
+        docs, _ = _column(sent, "docs", np.int64)
+        owner = np.repeat(sent["batch"].to_numpy(), size)
+        return _rows(_send(key[0].as_py(), lanes, names, more, docs, more if by_more else None, owner=owner), _SENT, pa.Table)
+
+    return run
+
+
+def _hand_back(answers: pa.Table) -> pa.Table:
+    """Answers to a pool of batches from a range of lanes become one answer to each batch."""
+    owner, _ = _column(answers, "owner", np.int64)
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    values = [_column(answers, c, t)[0] for c, t in (("names", np.uint64), ("docs", np.int64), ("shared", np.uint8))]
+    names, docs, shared = (x[order] if len(x) else x for x in values)
+    at = _changes(owner)
+    step = answers["step"][0].as_py()
+    cuts = zip(owner[at].tolist(), at.tolist(), [*at[1:].tolist(), len(owner)], strict=True)
+    return _rows([(batch, 0, step, names[a:b].tobytes(), docs[a:b].tobytes(), shared[a:b].tobytes(), b"") for batch, a, b in cuts], _ANSWER, pa.Table)
+
+
+def _exchange(sent: DataFrame, answer, lanes: int, width: int, by_more: bool = False) -> tuple[DataFrame, str]:
+    """The lanes' answers to the messages of all batches, stored."""
+    if width == 1:
+        return stored_at(sent.groupBy("lane").applyInArrow(answer, _ANSWER))
+    pooled = sent.withColumn("pool", F.pmod(F.xxhash64("batch"), F.lit(width).cast("long")))
+    answers = pooled.groupBy("pool", "lane").applyInArrow(_deal_on(lanes, by_more), _SENT).groupBy("lane").applyInArrow(answer, _ANSWER)
+    ranged = answers.withColumn("range", F.floor(F.col("lane") / width))
+    return stored_at(ranged.groupBy("batch", "range").applyInArrow(_hand_back, _ANSWER))
 
 
 def _groups_of(batches, lists: list[str]) -> Iterator[tuple[int, list[list]]]:
@@ -197,7 +255,7 @@ def _groups_of(batches, lists: list[str]) -> Iterator[tuple[int, list[list]]]:
 # ---- step 1: q-gram buckets
 
 
-def _gram_rows(lanes: int):
+def _gram_rows(lanes: int, width: int):
     def run(batches):
         for batch, (texts,) in _groups_of(batches, ["data"]):
             found, rows = [], []
@@ -210,27 +268,21 @@ def _gram_rows(lanes: int):
             names = pairs["name"]
             at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
             several = (np.diff(np.append(at, len(names))) > 1).astype(np.int64)
-            yield _rows(_send(batch, lanes, names[at], np.zeros(len(at), np.uint8), several), _SENT)
+            yield _rows(_send(batch, lanes, names[at], np.zeros(len(at), np.uint8), several, width=width), _SENT)
 
     return run
 
 
 def _shared_grams(sent: pa.Table) -> pa.Table:
     """Answer each batch which of its q-gram buckets another document has, too."""
-    names, row = _column(sent, "names", np.uint64)
+    names, _ = _column(sent, "names", np.uint64)
     several, _ = _column(sent, "docs", np.int64)
     order = np.argsort(names, kind="stable")
-    ordered = names[order]
-    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    size = np.diff(np.append(at, len(ordered)))
+    at = _changes(names[order])
+    size = np.diff(np.append(at, len(names)))
     shared = np.empty(len(names), bool)
     shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], at) > 0), size)
-    out = []
-    for i, batch in enumerate(sent["batch"].to_pylist()):
-        own = names[(row == i) & shared]
-        if len(own):
-            out.append((batch, 1, own.tobytes(), b"", b""))
-    return _rows(out, _ANSWER, pa.Table)
+    return _answer(sent, 1, shared, names)
 
 
 _RUN = T.StructType([T.StructField("batch", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("data", T.BinaryType())])
@@ -260,7 +312,7 @@ def _shared_runs(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
 # ---- step 2: whole stretches
 
 
-def _stretch_rows(lanes: int):
+def _stretch_rows(lanes: int, width: int):
     def run(batches):
         for batch, (data, docs) in _groups_of(batches, ["data", "doc"]):
             doc = np.asarray(docs, dtype=np.int64)
@@ -270,15 +322,15 @@ def _stretch_rows(lanes: int):
                 own.append(doc[s.row])
                 anchor.append(s.anchor)
             if names:
-                name, least, bucket = _smallest(np.concatenate(names), np.concatenate(own), np.concatenate(anchor))
-                yield _rows(_send(batch, lanes, name, bucket, least, by=bucket), _SENT)
+                name, least, _, bucket = _smallest(np.concatenate(names), np.concatenate(own), np.concatenate(anchor))
+                yield _rows(_send(batch, lanes, name, bucket, least, by=bucket, width=width), _SENT)
 
     return run
 
 
 def _refined(sent: pa.Table) -> pa.Table:
     """Answer each batch, for each of its stretches, the smallest document and whether the bucket has other stretches."""
-    names, row = _column(sent, "names", np.uint64)
+    names, _ = _column(sent, "names", np.uint64)
     bucket, _ = _column(sent, "more", np.uint64)
     docs, _ = _column(sent, "docs", np.int64)
     order = np.lexsort((docs, names, bucket))
@@ -289,11 +341,7 @@ def _refined(sent: pa.Table) -> pa.Table:
     least[order] = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_b))
     several[order] = (kinds > 1)[np.cumsum(new_b) - 1]
-    out = []
-    for i, batch in enumerate(sent["batch"].to_pylist()):
-        own = row == i
-        out.append((batch, 2, names[own].tobytes(), least[own].tobytes(), several[own].tobytes()))
-    return _rows(out, _ANSWER, pa.Table)
+    return _answer(sent, 2, np.ones(len(names), bool), names, least, several)
 
 
 def _answers(answers: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,7 +368,7 @@ def _open_windows(s: Stretches, pick: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # ---- step 3: single windows
 
 
-def _window_rows(lanes: int):
+def _window_rows(lanes: int, width: int):
     def run(key, runs: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple] = []
         name, least, several = _answers(answers, 2)
@@ -333,8 +381,8 @@ def _window_rows(lanes: int):
             names.append(s.window[at])
             docs.append(doc[s.row[stretch]])
         if names:
-            w, d = _smallest(np.concatenate(names), np.concatenate(docs))
-            out = _send(key[0].as_py(), lanes, w, np.zeros(len(w), np.uint8), d)
+            w, d, others = _smallest(np.concatenate(names), np.concatenate(docs))
+            out = _send(key[0].as_py(), lanes, w, others.astype(np.uint8), d, width=width)
         return _rows(out, _SENT, pa.Table)
 
     return run
@@ -342,21 +390,15 @@ def _window_rows(lanes: int):
 
 def _equal_windows(sent: pa.Table) -> pa.Table:
     """Answer each batch the smallest document of those of its windows that a smaller document has."""
-    names, row = _column(sent, "names", np.uint64)
+    names, _ = _column(sent, "names", np.uint64)
+    others, _ = _column(sent, "more", np.uint8)
     docs, _ = _column(sent, "docs", np.int64)
     order = np.lexsort((docs, names))
-    n = names[order]
-    new = np.concatenate(([True], n[1:] != n[:-1]))
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(n)))
-    least = np.empty(len(n), np.int64)
-    least[order] = np.repeat(docs[order][at], size)
-    # a window that only one batch has may be in several of its documents, so every name gets its answer
-    out = []
-    for i, batch in enumerate(sent["batch"].to_pylist()):
-        own = row == i
-        out.append((batch, 3, names[own].tobytes(), least[own].tobytes(), b""))
-    return _rows(out, _ANSWER, pa.Table)
+    at = _changes(names[order])
+    least = np.empty(len(names), np.int64)
+    least[order] = np.repeat(docs[order][at], np.diff(np.append(at, len(names))))
+    # if a batch's only document with a window is the smallest of all, no answer says the same
+    return _answer(sent, 3, (least < docs) | (others > 0), names, least)
 
 
 _CUT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("starts", T.BinaryType()), T.StructField("ends", T.BinaryType())])
@@ -398,21 +440,23 @@ def _cuts(key, runs: pa.Table, answers: pa.Table) -> pa.Table:
     return _rows(out, _CUT, pa.Table)
 
 
-def cut_spans(texts: DataFrame, batch_bytes: int = 4 << 20, lane_names: int = 400_000) -> DataFrame:
+def cut_spans(texts: DataFrame, batch_bytes: int = 4 << 20, lane_names: int = 400_000, fan: int = 2048) -> DataFrame:
     """(rid, starts, ends): the byte runs to remove, as arrays of 64-bit integers. `texts` has rid, doc_id and text.
 
-    `batch_bytes` is about how much text a batch holds, `lane_names` about how many identifiers a lane gets.
+    `batch_bytes` is about how much text a batch holds, `lane_names` about how many identifiers a lane gets, `fan` to how many
+    lanes or ranges of lanes a batch sends.
     """
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     per_batch = max(1, batch_bytes * max(1, rows) // max(1, size))
     lanes = max(1, size // (16 * lane_names))
+    width = -(-lanes // fan)
     keyed = texts.select(F.shiftright("rid", per_batch.bit_length() - 1).alias("batch"), "rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("data"))
-    grams, at_grams = stored_at(keyed.select("batch", "data").mapInArrow(_gram_rows(lanes), _SENT).groupBy("lane").applyInArrow(_shared_grams, _ANSWER))
+    grams, at_grams = _exchange(keyed.select("batch", "data").mapInArrow(_gram_rows(lanes, width), _SENT), _shared_grams, lanes, width)
     runs, at_runs = stored_at(keyed.groupBy("batch").cogroup(grams.groupBy("batch")).applyInArrow(_shared_runs, _RUN))
     drop_stored(texts.sparkSession, at_grams)
-    whole, at_whole = stored_at(runs.mapInArrow(_stretch_rows(lanes), _SENT).groupBy("lane").applyInArrow(_refined, _ANSWER))
-    single = runs.groupBy("batch").cogroup(whole.groupBy("batch")).applyInArrow(_window_rows(lanes), _SENT)
-    single, at_single = stored_at(single.groupBy("lane").applyInArrow(_equal_windows, _ANSWER))
+    whole, at_whole = _exchange(runs.mapInArrow(_stretch_rows(lanes, width), _SENT), _refined, lanes, width, by_more=True)
+    single = runs.groupBy("batch").cogroup(whole.groupBy("batch")).applyInArrow(_window_rows(lanes, width), _SENT)
+    single, at_single = _exchange(single, _equal_windows, lanes, width)
     cuts = stored(runs.groupBy("batch").cogroup(whole.unionByName(single).groupBy("batch")).applyInArrow(_cuts, _CUT))
     for at in (at_runs, at_whole, at_single):
         drop_stored(texts.sparkSession, at)
